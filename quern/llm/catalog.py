@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import bpe, exact_dedup, mixing
 
 
 def queries() -> dict:
-    return {"op9_exact_dedup": exact_dedup.op9_exact_dedup}
+    return {
+        "op1_mix_sources": mixing.op1_mix_sources,
+        "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_bpe": bpe.op10_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
