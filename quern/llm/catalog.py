@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing
+from . import bpe, exact_dedup, mixing, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_bpe": bpe.op10_bpe,
     }
