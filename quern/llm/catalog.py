@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, toxicity
+from . import bpe, exact_dedup, mixing, shingle_join, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_ngram_jaccard_join": shingle_join.op2_ngram_jaccard_join,
         "op5_toxicity": toxicity.op5_toxicity,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_bpe": bpe.op10_bpe,
