@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, shingle_join, toxicity
+from . import bpe, exact_dedup, media, mixing, shingle_join, token_store, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_ngram_jaccard_join": shingle_join.op2_ngram_jaccard_join,
+        "op3_media": media.op3_media,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op8_token_store": token_store.op8_token_store,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_bpe": bpe.op10_bpe,
     }
