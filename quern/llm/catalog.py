@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, media, mixing, shingle_join, token_store, toxicity
+from . import bpe, exact_dedup, media, mixing, secret_scan, shingle_join, token_store, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_ngram_jaccard_join": shingle_join.op2_ngram_jaccard_join,
         "op3_media": media.op3_media,
+        "op4_secret_scan": secret_scan.op4_secret_scan,
         "op5_toxicity": toxicity.op5_toxicity,
         "op8_token_store": token_store.op8_token_store,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
