@@ -177,7 +177,7 @@ def _sentences(seed: int, many: int):
         yield [t for t, _ in rows], [y for _, y in rows], pick([[], [], ["file="], ["file{"]])
 
 
-def train(seed: int = 5, sentences: int = 1500, steps: int = 120, ridge: float = 1e-3) -> Field:
+def train(seed: int = 5, sentences: int = 800, steps: int = 100, ridge: float = 1e-3) -> Field:
     """The field of greatest likelihood on generated sentences, by Adam steps on the gradient."""
     data = [([features(t, i, file) for i in range(len(t))], y) for t, y, file in _sentences(seed, sentences)]
     names = {x: k for k, x in enumerate(sorted({f for rows, _ in data for r in rows for f in r}))}
