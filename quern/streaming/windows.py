@@ -22,5 +22,5 @@ def pending(files: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 def process_once(spark: SparkSession, path: str, checkpoint: str, handle: Callable[[DataFrame, int], None], glob: str = "*.fna"):
     """Runs ``handle`` on files not seen before; the checkpoint remembers them."""
-    stream = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).load(path)
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,0 +1,164 @@
+"""Small fixtures with known results."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quern.functions import columns as C
+from quern.operators import cohort, contracts, metrics, models, sequences, similarity, splits
+from quern.sources import tables
+from quern.streaming import windows
+
+
+def test_contig_metrics_of_two_contigs(spark, tmp_path):
+    (tmp_path / "g.1.fna").write_text(">long\nAAAAANNNNN\n>short\nACGT\n")
+    records = tables.fasta(spark, str(tmp_path))
+    assert [(r.genome_id, r.contig_idx, r.header, r.sequence) for r in records.orderBy("contig_idx").collect()] == [("g.1", 0, "long", "AAAAANNNNN"), ("g.1", 1, "short", "ACGT")]
+    row = sequences.contig_metrics(records, "genome_id", "sequence").first()
+    assert (row.genome_length, row.contigs, row.contig_n50, row.ambiguous_bases) == (14, 2, 10, 5)
+
+
+def test_malformed_sequence_files(spark):
+    bodies = ["", "ACGT", "x>a\nACGT", ">a\n", ">a\nAC1T", ">a\nACGTN"]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string")
+    assert [r.e for r in df.orderBy("i").select(sequences.fasta_error(F.col("b")).alias("e")).collect()] == ["empty file", "text before the first header", "text before the first header", "empty sequence", "invalid character", None]
+
+
+def test_strings_keep_identifiers_and_empty_fields(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Genome ID,x\n1280.10,\n1280.2,NA\n")
+    assert [tuple(r) for r in tables.strings(spark, str(tmp_path / "a.csv")).collect()] == [("1280.10", ""), ("1280.2", "NA")]
+
+
+def test_lists_are_written_as_json(spark, tmp_path):
+    tables.write_both(spark.createDataFrame([(1, ["a", "b"])], "i int, l array<string>"), str(tmp_path / "p"), str(tmp_path / "c"))
+    assert tables.strings(spark, str(tmp_path / "c")).count() == 1
+
+
+def test_mutation_keys_split_at_the_first_mark(spark):
+    df = spark.createDataFrame([("gyrA_S84L",), ("a_b_c",), ("mecA",)], "s string")
+    assert [r.k for r in df.select(C.mutation_key(F.col("s")).alias("k")).collect()] == ["mutation::gyrA::S84L", "mutation::a::b_c", "mutation::mecA::unknown"]
+
+
+def test_species_needs_its_space(spark):
+    df = spark.createDataFrame([("Aus bus x", "1", " Laboratory Method "), ("Aus bus", "1", "laboratory method"), ("Aus bus y", "2", "laboratory method")], "`Genome Name` string, `Taxon ID` string, Evidence string")
+    assert cohort.of_species(df, "Aus bus", "1", "Laboratory Method").count() == 1
+
+
+def test_labels_summary(spark):
+    df = spark.createDataFrame([("a", "d", "Resistant"), ("b", "d", "Susceptible"), ("c", "d", "Susceptible")], "g string, d string, l string")
+    row = cohort.summarize(df, "g", "d", "l").first()
+    assert (row.Resistant, row.Susceptible, row.total) == (1, 2, 3)
+
+
+def test_conflicts_leave(spark):
+    df = spark.createDataFrame([("a", "d", "Resistant"), ("a", "d", "Susceptible"), ("b", "d", "Resistant"), ("b", "d", "Resistant"), ("c", "d", "")], "g string, d string, l string")
+    done = cohort.clean(df, ["g", "d"], "l", ["d"])
+    assert [tuple(r) for r in done.labels.collect()] == [("b", "d", "Resistant")]
+    assert tuple(done.excluded.first()) == (0, 1)
+
+
+def test_clusters_and_split(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(1, 9)], "id long")
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (7, 8)], "left_id long, right_id long")
+    found = similarity.components(nodes, edges, "id")
+    assert {r.id: r.root for r in found.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6, 7: 7, 8: 7}
+    split = {r.root: r.split for r in splits.assign(found.groupBy("root").agg(F.count("*").alias("n")), "root", "n").collect()}
+    assert split[1] == "train" and set(split) == {1, 6, 7}
+
+
+def test_novelty(spark):
+    df = spark.createDataFrame([([],), ([1],), ([1, 2],)], "p array<int>")
+    loo = similarity.leave_one_out(df, "p")
+    assert loo.count() == 3 and 0 <= similarity.novelty_floor(loo, "similarity", 0.0).first().floor <= 1
+    one = spark.createDataFrame([(1, [1])], "i int, p array<int>")
+    assert similarity.maximum_jaccard(one, df, "i", "p").first().similarity == 1
+    assert similarity.maximum_jaccard(one, df.limit(0), "i", "p").first().similarity == 0
+    assert similarity.leave_one_out(df.limit(1), "p").first().similarity == 1
+
+
+@pytest.mark.parametrize(("y", "p", "least", "worst", "want"), [("000111", (0.05, 0.10, 0.20, 0.75, 0.85, 0.95), 2, 0.1, (0.20, 0.75)), ("000101", (0.05, 0.10, 0.20, 0.60, 0.80, 0.90), 3, 0.0, (0.20, None))])
+def test_thresholds(spark, y, p, least, worst, want):
+    df = spark.createDataFrame([(1, int(a), b) for a, b in zip(y, p, strict=True)], "d int, y int, p double")
+    row = metrics.best_thresholds(metrics.threshold_candidates(df, ["d"], worst, least)).first()
+    assert (row.lower, row.upper) == want
+
+
+def test_signal_tries_the_lower_boundary_first(spark):
+    df = spark.createDataFrame([(0.2,), (0.5,), (0.9,)], "p double")
+    assert [r.s for r in df.select(C.model_signal(F.col("p"), 0.5, 0.5).alias("s")).collect()] == ["susceptible_signal", "susceptible_signal", "resistant_signal"]
+    assert [r.s for r in df.select(C.model_signal(F.col("p"), None, None).alias("s")).collect()] == ["no_call"] * 3
+
+
+def test_bins_are_closed_on_the_right(spark):
+    df = spark.createDataFrame([(0.0,), (0.1,), (0.3,), (0.31,), (1.0,), (1.1,)], "p double")
+    assert [r.b for r in df.select(C.probability_bin(F.col("p")).alias("b")).collect()] == [0, 0, 2, 3, 9, None]
+
+
+def test_metrics_equal_their_definitions(spark):
+    rng = np.random.default_rng(1)
+    p, y = rng.integers(0, 20, 200) / 20, rng.integers(0, 2, 200)
+    df = spark.createDataFrame([(1, int(b), float(a)) for a, b in zip(p, y, strict=True)], "d int, y int, p double")
+    pos, neg = p[y == 1], p[y == 0]
+    area = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
+    assert metrics.auroc(df, ["d"]).first().auroc == pytest.approx(area)
+    ap, before = 0.0, 0.0
+    for t in sorted(set(p), reverse=True):
+        recall = (pos >= t).mean()
+        ap, before = ap + (recall - before) * y[p >= t].mean(), recall
+    assert metrics.average_precision(df, ["d"]).first().average_precision == pytest.approx(ap)
+    assert metrics.auroc(df.where("y = 1"), ["d"]).first().auroc is None
+
+
+def test_logistic_minimises_its_objective(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(150, 3))
+    y = (x @ [1.0, -2.0, 0.5] + 0.3 + rng.logistic(size=150) > 0.8).astype(int)
+    df = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y, strict=True)], "x array<double>, y int")
+    w = np.array(models.fit_logistic(df, "x", "y"))
+    s = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    xb = np.column_stack([x, np.ones(len(x))])
+    grad = w + xb.T @ (s * (1 / (1 + np.exp(-xb @ w)) - y))
+    assert np.abs(grad).max() < 1e-2
+    a, b = models.fit_platt(df.withColumn("z", models.margin("x", w.tolist())), "z", "y")
+    z, n1 = xb @ w, y.sum()
+    t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (len(y) - n1 + 2))
+    r = 1 / (1 + np.exp(-(a * z + b))) - t
+    assert abs(r.sum()) < 1e-2 and abs((r * z).sum()) < 1e-2
+
+
+def test_contracts(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b")], "i int, s string")
+    with pytest.raises(contracts.ContractError):
+        contracts.require_columns(df, ["x"])
+    with pytest.raises(contracts.ContractError):
+        contracts.require_unique(df, "i")
+    with pytest.raises(contracts.ContractError):
+        contracts.require_fractions(0.5, 0.6)
+    with pytest.raises(contracts.ContractError):
+        contracts.require_bundle(["a"], "wrong")
+    contracts.require_bundle(["a", "b"], contracts.schema_digest(["a", "b"]))
+    assert contracts.with_missing(df, ["z"]).columns == ["i", "s", "z"]
+    assert contracts.join_many_to_one(df, spark.createDataFrame([(1, 2)], "i int, k int"), ["i"]).count() == 2
+
+
+def test_pending_files(spark):
+    files, done = spark.createDataFrame([("a", "1"), ("b", "1")], "id string, version string"), spark.createDataFrame([("a", "1"), ("b", "0")], "id string, version string")
+    assert [r.id for r in windows.pending(files, done, ["id", "version"]).collect()] == ["b"]
+
+
+def test_files_are_processed_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.fna").write_text(">a\nACGT")
+    seen = []
+    for _ in range(2):
+        windows.process_once(spark, str(tmp_path / "in"), str(tmp_path / "ck"), lambda df, _: seen.extend(r.path for r in df.select("path").collect())).awaitTermination()
+    assert len(seen) == 1
+
+
+def test_counts_in_windows_on_a_stream(spark, tmp_path):
+    spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'a' AS k UNION ALL SELECT timestamp'2024-01-01 00:50:00', 'a' UNION ALL SELECT timestamp'2024-01-01 01:10:00', 'a'").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, k string").parquet(str(tmp_path / "in"))
+    q = windows.tumbling_counts(stream, "ts", ["k"], "1 hour", "10 minutes").writeStream.outputMode("complete").format("memory").queryName("counted").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.n for r in spark.table("counted").collect()) == [1, 2]
