@@ -202,17 +202,17 @@ def mark_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Where rows of a group share the smallest identifier, all of them count as kept.
     """
-    own = owners(docs, doc_id, text, trie_bytes).select(F.lower(F.hex("digest")).alias("k_sha"), F.col("owner").alias("keep_id"), F.col("copies").alias("group_size"))
+    own = owners(docs, doc_id, text, trie_bytes).select(F.lower(F.hex("digest")).alias("_dedup_sha"), F.col("owner").alias("keep_id"), F.col("copies").alias("group_size"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.sha2(F.encode(normalised(F.col(text)), "UTF-8"), 256).alias("text_sha256"))
-    return rows.join(own, rows.text_sha256 == own.k_sha).select("doc_id", "keep_id", "group_size", rows.doc_id.eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return rows.join(own, rows.text_sha256 == own._dedup_sha).select("doc_id", "keep_id", "group_size", rows.doc_id.eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that own their text, with all columns; copies of an owner's row go too."""
-    own = owners(docs, doc_id, text).select(F.lower(F.hex("digest")).alias("k_sha"), F.col("owner").alias("k_id"))
-    rows = docs.withColumn("k_of", F.sha2(F.encode(normalised(F.col(text)), "UTF-8"), 256))
-    kept = rows.join(own, (rows.k_of == own.k_sha) & rows[doc_id].cast("long").eqNullSafe(own.k_id), "left_semi")
-    twice = ["k_of"] if doc_id not in docs.columns else ["k_of", doc_id]
+    """The rows of ``docs`` that own their text, with all columns; any one of rows with the owner's identifier and text stays."""
+    own = owners(docs, doc_id, text).select(F.lower(F.hex("digest")).alias("_dedup_sha"), F.col("owner").alias("_dedup_id"))
+    rows = docs.withColumn("_dedup_of", F.sha2(F.encode(normalised(F.col(text)), "UTF-8"), 256))
+    kept = rows.join(own, (rows._dedup_of == own._dedup_sha) & rows[doc_id].cast("long").eqNullSafe(own._dedup_id), "left_semi")
+    twice = ["_dedup_of"] if doc_id not in docs.columns else ["_dedup_of", doc_id]
     return kept.dropDuplicates(twice).select(*docs.columns)
 
 
