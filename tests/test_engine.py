@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import columns as C
-from quern.operators import cohort, contracts, metrics, models, sequences, similarity, splits
-from quern.sources import tables
+from quern.operators import cohort, contracts, metrics, models, report, sequences, similarity, splits
+from quern.sources import remote, tables
 from quern.streaming import windows
 
 
@@ -162,3 +162,57 @@ def test_counts_in_windows_on_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.n for r in spark.table("counted").collect()) == [1, 2]
+
+
+def gates(spark, **changes):
+    base = {"drug": "d", "p": 0.1, "lower": 0.2, "upper": 0.8, "qc_reasons": [], "lineage_status": "in_distribution", "similarity": 0.9, "similarity_floor": 0.5, "unknown_features": [], "relevant": [], "strong": [], "target_status": "present"}
+    schema = "drug string, p double, lower double, upper double, qc_reasons array<string>, lineage_status string, similarity double, similarity_floor double, unknown_features array<string>, relevant array<string>, strong array<string>, target_status string"
+    return report.decide(spark.createDataFrame([tuple({**base, **changes}.values())], schema)).first()
+
+
+def test_gates_in_order(spark):
+    row = gates(spark)
+    assert (row.call, row.category, row.reasons) == ("likely_to_work", "no_known_resistance_signal", []) and row.confidence == pytest.approx(0.9)
+    assert gates(spark, qc_reasons=["n50_too_low"]).reasons == ["qc:n50_too_low"]
+    assert gates(spark, lineage_status="unavailable").reasons == ["lineage_unavailable"]
+    assert gates(spark, unknown_features=["x"]).reasons == ["outside_amr_feature_distribution", "unseen_amr_features_detected"]
+    assert gates(spark, lower=1.0, relevant=["erm(C)"]).category == "conflicting_known_resistance_evidence"
+    assert gates(spark, target_status="not_verified").reasons == ["molecular_target_not_verified"]
+    row = gates(spark, lower=None, upper=0.0, target_status="not_verified", relevant=["mecA"], strong=["mecA"])
+    assert (row.call, row.category) == ("likely_to_fail", "known_resistance_gene_or_mutation")
+    assert gates(spark, p=0.5, relevant=["x"]).category == "known_resistance_evidence_but_model_uncertain"
+    assert gates(spark, lower=None, upper=None).call == "no_call"
+
+
+def test_targets_and_reports(spark):
+    registry = spark.createDataFrame([("d", ["gyrA", "parC"], 2), ("e", ["gyrA"], 1)], "drug string, target_symbols array<string>, minimum_targets_detected int")
+    hits = spark.createDataFrame([("g", "gyrA", 1e-30, 80.0), ("g", "gyrA", 1e-30, 90.0), ("g", "x", 1.0, 1.0)], "genome_id string, symbol string, evalue double, bitscore double")
+    got = {r.drug: (r.status, r.detected) for r in report.target_status(registry, hits).collect()}
+    assert got == {"d": ("not_verified", ["gyrA"]), "e": ("present", ["gyrA"])}
+    assert [r.bitscore for r in report.best_hits(hits, "symbol", "evalue", "bitscore", F.col("evalue") < 1e-10).collect()] == [90.0]
+    with pytest.raises(contracts.ContractError):
+        report.require_registry(registry, ["d", "z"])
+    decisions = spark.createDataFrame([("g", "e", "no_call"), ("g", "d", "likely_to_work")], "genome_id string, drug string, call string")
+    doc = report.documents(decisions, hits.select("genome_id").distinct()).first()
+    assert [x.drug for x in doc.decisions] == ["d", "e"] and doc.defensive_use_only
+    scored = {r.drug: r for r in report.score(decisions, spark.createDataFrame([("g", "e", 0), ("g", "d", 0)], "genome_id string, drug string, y int")).collect()}
+    assert scored["d"].called_accuracy == 1.0 and scored["e"].no_call_rate == 1.0 and scored["e"].called_accuracy is None
+
+
+def test_vectors_and_cached_reports(spark):
+    df = spark.createDataFrame([(["known", "new"],)], "f array<string>")
+    vector, unknown = report.feature_vector(F.col("f"), ["known", "other"])
+    row = df.select(vector.alias("v"), unknown.alias("u")).first()
+    assert (row.v, row.u) == ([1, 0], ["new"])
+    reports = spark.createDataFrame([("a", "expected", "{}")], "analysis_id string, sha256 string, report string")
+    asked = spark.createDataFrame([("a", "expected"), ("a", "different")], "analysis_id string, sha256 string")
+    assert {r.sha256: r.report for r in report.cached(asked, reports).collect()} == {"expected": "{}", "different": None}
+
+
+def test_downloads_keep_errors_as_rows(spark, tmp_path):
+    (tmp_path / "src").mkdir(), (tmp_path / "to").mkdir()
+    (tmp_path / "src/a").write_text(">a\nACGT")
+    df = spark.createDataFrame([("1.1", f"file://{tmp_path}/src/a"), ("1.2", f"file://{tmp_path}/src/none")], "genome_id string, url string")
+    got = {r.genome_id: r for r in remote.fetch(df, "genome_id", "url", str(tmp_path / "to")).collect()}
+    assert got["1.1"].bytes == 7 and got["1.1"].error == "" and got["1.2"].path is None and got["1.2"].error
+    assert [x.name for x in (tmp_path / "to").iterdir()] == ["1.1.fna"]
