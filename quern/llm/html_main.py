@@ -67,6 +67,12 @@ class Lines(HTMLParser):
             self.tags = 0
         self.parts = []
 
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a marked section of no known kind is a comment
+            return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag in _VOID:
