@@ -11,8 +11,8 @@ read independently, and a damaged one is found by its checksum. Within a block e
 predicted at orders 2 and 1 by the id that followed that context last; the chance that the
 order-2 guess holds is mixed from adaptive probabilities of orders 2, 1 and 0 by weights
 learned on the way, as is the chance of the order-1 guess if the first fails. An id that
-neither predicts is coded by adaptive order-0 frequencies of its two bytes. A 32-bit
-range coder takes all of these. Arithmetic is in integers, so files read alike anywhere.
+neither predicts is coded by adaptive order-0 frequencies of its two bytes. These shares nest,
+so each id is one event of a carryless 64-bit range coder. Arithmetic is in integers, so files read alike anywhere.
 
 Blocks are coded in step, one id of each at a time, in numpy; a task holds at most
 ``LANES`` blocks' models. One shuffle deals texts by range of identifier, and no row of
@@ -70,7 +70,7 @@ class Encoder:
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _library(self, some: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint16).tobytes() for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint16).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
     def _words(self, text: str) -> list[str] | None:
         """The text cut where tokens certainly begin, or None."""
@@ -143,7 +143,7 @@ class _Models:
         self.hits = np.zeros(lanes, np.int64)
         self.context = np.empty((3, lanes), np.int64)
         self.count = [np.ones((lanes, 256), np.int32) for _ in range(2)]
-        self.cum = [np.tile(np.arange(257, dtype=np.int64) * 256, (lanes, 1)) for _ in range(2)]
+        self.cum = [np.tile(np.arange(257, dtype=np.int64) * 16, (lanes, 1)) for _ in range(2)]
         self.step = 0
 
     def predict(self) -> None:
@@ -188,83 +188,92 @@ class _Models:
                 if big.any():
                     n[big] = (n[big] + 1) >> 1
                     total = n.sum(1)
-                self.cum[k][:, 1:] = (n.cumsum(1) << 16) // total[:, None]
+                self.cum[k][:, 1:] = np.arange(1, 257) + n.cumsum(1) * 3840 // total[:, None]
 
 
-_TOP, _BOTTOM, _MASK = 1 << 24, 1 << 16, 0xFFFFFFFF
+_U = np.uint64
+_TOP, _BOTTOM, _FULL = _U(1 << 56), _U(1 << 48), _U((1 << 64) - 1)
+#: Shares are of 2**40; a byte's frequencies are of 2**12.
+_SHARE, _ONE = _U(40), _U(1 << 40)
+_8, _12, _28, _56 = _U(8), _U(12), _U(28), _U(56)
 
 
 class _Writer:
+    """A carryless range coder of 64 bits for each lane."""
+
     def __init__(self, lanes: int, room: int):
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
+        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, _FULL)
         self.out, self.n = np.zeros((lanes, room), np.uint8), np.zeros(lanes, np.int64)
 
-    def put(self, at, start, size) -> None:
-        """An event at lanes ``at`` whose share of 2**16 is ``start`` to ``start + size``."""
-        low, step = self.low[at], self.range[at] >> 16
-        low = low + start * step
-        rng = step * size
-        self.low[at], self.range[at] = low & _MASK, rng
-        # a carry can't come: renormalising keeps low + range within 32 bits
-        while True:
-            settled = ((low ^ (low + rng)) & _MASK) < _TOP
-            small = rng < _BOTTOM
-            more = np.flatnonzero(settled | small)
-            if not more.size:
-                return
-            low, rng, settled = low[more], rng[more], settled[more]
-            at = at[more]
-            rng = np.where(settled, rng, -low & (_BOTTOM - 1))
-            self.out[at, self.n[at]] = low >> 24
-            self.n[at] += 1
-            low, rng = (low << 8) & _MASK, (rng << 8) & _MASK
-            self.low[at], self.range[at] = low, rng
+    def put(self, on: int, start: np.ndarray, size: np.ndarray) -> None:
+        """Of the first ``on`` lanes, an event whose share is ``start`` to ``start + size``."""
+        step = self.range[:on] >> _SHARE
+        self.low[:on] += start * step
+        self.range[:on] = step * size
+        low, rng = self.low[:on], self.range[:on]
+        more = np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng < _BOTTOM))
+        while more.size:
+            low, rng = self.low[more], self.range[more]
+            # a range that is too small ends where its bytes can't change any more
+            rng = np.where((low ^ (low + rng)) < _TOP, rng, (_U(0) - low) & (_BOTTOM - _U(1)))
+            n = self.n[more]
+            self.out[more, n] = low >> _56
+            self.n[more] = n + 1
+            low, rng = low << _8, rng << _8
+            self.low[more], self.range[more] = low, rng
+            more = more[((low ^ (low + rng)) < _TOP) | (rng < _BOTTOM)]
 
     def close(self) -> list[bytes]:
-        for k in range(4):
-            self.out[np.arange(len(self.n)), self.n] = (self.low >> (24 - 8 * k)) & 255
+        for k in range(8):
+            self.out[np.arange(len(self.n)), self.n] = (self.low >> _U(56 - 8 * k)) & _U(255)
             self.n += 1
         return [row[:n].tobytes() for row, n in zip(self.out, self.n.tolist(), strict=True)]
 
 
 class _Reader:
     def __init__(self, coded: list[bytes]):
-        room = max(map(len, coded)) + 8
+        room = max(map(len, coded)) + 16
         self.data = np.zeros((len(coded), room), np.uint8)
         for i, c in enumerate(coded):
             self.data[i, : len(c)] = np.frombuffer(c, np.uint8)
         self.last = room - 1
-        self.low, self.range = np.zeros(len(coded), np.int64), np.full(len(coded), _MASK, np.int64)
-        first = self.data[:, :4].astype(np.int64)
-        self.code = (first[:, 0] << 24) | (first[:, 1] << 16) | (first[:, 2] << 8) | first[:, 3]
-        self.n = np.full(len(coded), 4)
-
-    def peek(self, at) -> np.ndarray:
-        return np.minimum(((self.code[at] - self.low[at]) & _MASK) // np.maximum(self.range[at] >> 16, 1), 65535)
-
-    def take(self, at, start, size) -> None:
-        low, step = self.low[at], self.range[at] >> 16
-        low = low + start * step
-        rng = step * size
-        self.low[at], self.range[at] = low & _MASK, rng
-        while True:
-            settled = ((low ^ (low + rng)) & _MASK) < _TOP
-            more = np.flatnonzero(settled | (rng < _BOTTOM))
-            if not more.size:
-                return
-            low, rng, settled = low[more], rng[more], settled[more]
-            at = at[more]
-            rng = np.where(settled, rng, -low & (_BOTTOM - 1))
-            self.code[at] = ((self.code[at] << 8) & _MASK) | self.data[at, np.minimum(self.n[at], self.last)]
-            self.n[at] += 1
-            low, rng = (low << 8) & _MASK, (rng << 8) & _MASK
-            self.low[at], self.range[at] = low, rng
-
-
-def _share(chance: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size, of 2**16, of a hit (first) or miss with a chance of 12 bits."""
-    one = np.clip(chance, 8, 4088) << 4
-    return np.where(hit, 0, one), np.where(hit, one, 65536 - one)
+        self.low, self.range = np.zeros(len(coded), _U), np.full(len(coded), _FULL)
+        self.code = np.ascontiguousarray(self.data[:, :8]).view(">u8").astype(_U).ravel()
+        self.n = np.full(len(coded), 8)
+
+    def peek(self, on: int) -> np.ndarray:
+        """Where in the share of 2**40 the next event lies."""
+        return np.minimum((self.code[:on] - self.low[:on]) // (self.range[:on] >> _SHARE), _ONE - _U(1))
+
+    def take(self, on: int, start: np.ndarray, size: np.ndarray) -> None:
+        step = self.range[:on] >> _SHARE
+        self.low[:on] += start * step
+        self.range[:on] = step * size
+        low, rng = self.low[:on], self.range[:on]
+        more = np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng < _BOTTOM))
+        while more.size:
+            low, rng = self.low[more], self.range[more]
+            rng = np.where((low ^ (low + rng)) < _TOP, rng, (_U(0) - low) & (_BOTTOM - _U(1)))
+            n = np.minimum(self.n[more], self.last)
+            self.code[more] = (self.code[more] << _8) | self.data[more, n]
+            self.n[more] = n + 1
+            low, rng = low << _8, rng << _8
+            self.low[more], self.range[more] = low, rng
+            more = more[((low ^ (low + rng)) < _TOP) | (rng < _BOTTOM)]
+
+
+def _shares(m: _Models, on: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shares of the order-2 guess and, behind it, of the order-1 guess."""
+    two = np.clip(m.chance2[:on], 32, 4064).astype(_U) << _28
+    one = np.where(m.same[:on], _U(0), ((_ONE - two) >> _12) * np.clip(m.chance1[:on], 32, 4064).astype(_U))
+    return two, one
+
+
+def _within(m: _Models, k: int, at: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size, of 2**12, of byte ``s`` at lanes ``at``."""
+    flat, place = m.cum[k].ravel(), at * 257 + s
+    start = flat[place]
+    return start.astype(_U), (flat[place + 1] - start).astype(_U)
 
 
 def code_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -279,18 +288,19 @@ def code_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         on = int(np.searchsorted(-length, -t, "left"))
         m.predict()
         x = ids[t]
-        hit2 = x == m.x2
-        w.put(m.lane[:on], *_share(m.chance2[:on], hit2[:on]))
-        miss2 = np.flatnonzero(~(hit2 | m.same)[:on])
-        hit1 = x == m.x1
-        if miss2.size:
-            w.put(miss2, *_share(m.chance1[miss2], hit1[miss2]))
-        plain = np.flatnonzero(~(hit2 | (hit1 & ~m.same))[:on])
+        hit2, hit1 = x == m.x2, x == m.x1
+        two, one = _shares(m, on)
+        start, size = np.where(hit2[:on], _U(0), two), np.where(hit2[:on], two, one)
+        plain = np.flatnonzero(~(hit2 | hit1)[:on])
         if plain.size:
-            for k, s in enumerate((x[plain] >> 8, x[plain] & 255)):
-                start = m.cum[k][plain, s]
-                w.put(plain, start, m.cum[k][plain, s + 1] - start)
-        m.learn(x, hit2, miss2, hit1, plain)
+            v, behind = x[plain], two[plain] + one[plain]
+            unit = (_ONE - behind) >> _12
+            high, wide = _within(m, 0, plain, v >> 8)
+            low, narrow = _within(m, 1, plain, v & 255)
+            unit_low = (unit * wide) >> _12
+            start[plain], size[plain] = behind + unit * high + unit_low * low, unit_low * narrow
+        w.put(on, start, size)
+        m.learn(x, hit2, np.flatnonzero(~(hit2 | m.same)[:on]), hit1, plain)
     out = [b""] * len(order)
     for i, c in zip(order, w.close(), strict=True):
         out[i] = c
@@ -305,36 +315,31 @@ def decode_blocks(coded: list[bytes], length: list[int]) -> list[np.ndarray]:
     m, r = _Models(len(order)), _Reader([coded[i] for i in order])
     for t in range(len(ids)):
         on = int(np.searchsorted(-many, -t, "left"))
-        lane = m.lane[:on]
         m.predict()
-        x = np.zeros(len(order), np.int64)
-        one = np.clip(m.chance2[:on], 8, 4088) << 4
-        hit2 = r.peek(lane) < one
-        r.take(lane, np.where(hit2, 0, one), np.where(hit2, one, 65536 - one))
-        x[:on] = np.where(hit2, m.x2[:on], 0)
-        miss2 = np.flatnonzero(~(hit2 | m.same[:on]))
-        done = hit2.copy()
-        if miss2.size:
-            one = np.clip(m.chance1[miss2], 8, 4088) << 4
-            hit = r.peek(miss2) < one
-            r.take(miss2, np.where(hit, 0, one), np.where(hit, one, 65536 - one))
-            good = miss2[hit]
-            x[good] = m.x1[good]
-            done[good] = True
-        plain = np.flatnonzero(~done)
+        two, one = _shares(m, on)
+        v = r.peek(on)
+        first = v < two
+        start, size = np.where(first, _U(0), two), np.where(first, two, one)
+        x = ids[t]
+        x[:on] = np.where(first, m.x2[:on], m.x1[:on])
+        plain = np.flatnonzero(v >= two + one)
         if plain.size:
-            v = np.zeros(plain.size, np.int64)
+            behind = two[plain] + one[plain]
+            unit, left = (_ONE - behind) >> _12, v[plain] - behind
+            found, at = np.zeros(plain.size, np.int64), behind
             for k in range(2):
-                cum, want = m.cum[k], r.peek(plain)
-                s = np.zeros(plain.size, np.int64)
+                flat, base, s = m.cum[k].ravel(), plain * 257, np.zeros(plain.size, np.int64)
+                want = np.minimum(left // unit, _U(4095)).astype(np.int64)
                 for bit in (128, 64, 32, 16, 8, 4, 2, 1):
-                    s = np.where(cum[plain, s + bit] <= want, s + bit, s)
-                start = cum[plain, s]
-                r.take(plain, start, cum[plain, s + 1] - start)
-                v = v << 8 | s
-            x[plain] = v
-        ids[t] = x
-        m.learn(x, x == m.x2, miss2, x == m.x1, plain)
+                    s += bit * (flat[base + s + bit] <= want)
+                low, wide = _within(m, k, plain, s)
+                at, left = at + unit * low, left - unit * low
+                found, full = found << 8 | s, unit * wide
+                unit = full >> _12
+            start[plain], size[plain], x[plain] = at, full, found
+        r.take(on, start, size)
+        hit2 = x == m.x2
+        m.learn(x, hit2, np.flatnonzero(~(hit2 | m.same)[:on]), x == m.x1, plain)
     out = [np.zeros(0, np.int64)] * len(order)
     for k, i in enumerate(order):
         out[i] = ids[: many[k], k]
