@@ -5,7 +5,10 @@ into lines; each line counts its characters and the tags met while it was read,
 belongs to a region: the outermost article or main element around it, or else the
 nearest sectioning element. What never holds main text is left out as it is met: scripts,
 styles, menus, page headers and footers, sidebars, forms, and elements whose role, class
-or id names an advert, a notice, reader comments and the like.
+or id names an advert, a notice, reader comments and the like. A name is a whole word of
+class or id, or, for an element without sections in it or one within an article, the first or
+last part of one. A form or an element with such a role or name that contains an article or
+main is a wrapper and leaves nothing out, save an article's own comments and related articles.
 
 The ratios of characters to tags of a page's lines are smoothed by a Gaussian, and a
 region's ratio is the mean of its lines' by their characters. A threshold between the two
@@ -35,35 +38,46 @@ from ._base import batch, small_batches, texts
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SECTION = frozenset("article main section div td body html center fieldset details".split())
 _BLOCK = _SECTION | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr th figure figcaption address hr".split())
-_NEVER = frozenset("head title script style noscript template svg math nav footer aside form button select textarea iframe object dialog menu audio video canvas".split())
+_NEVER = frozenset("head title script style noscript template svg math nav footer aside button select textarea iframe object dialog menu audio video canvas".split())
 _NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation footer header masthead breadcrumb breadcrumbs "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login paywall share sharing social related recommended recirculation "
     "comment comments disqus respond replies pagination pager toolbar widget hidden".split()
 )
+#: Of these, what holds other articles and comments within an article.
+_OTHERS = frozenset("related recommended recirculation comment comments disqus respond replies".split())
+#: A word with one of these parts says how a page is laid out, not what an element is.
+_LAYOUT = frozenset("no not non with without has have is js".split())
+_WORDS = re.compile(r"[^a-z0-9_\-]+")
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: An element of these closes an open paragraph, as pages leave out </p>.
 _CLOSES_P = _BLOCK | frozenset("nav footer aside form header".split())
 
+#: How sure a name is: a part of a word, a whole word or role, an element that is not shown.
+PART, NAME, HIDDEN = 1, 2, 3
+
 #: Standard deviation, in lines, of the smoothing, and its reach.
 SIGMA, REACH = 1.0, 2
 
 
 class Lines(HTMLParser):
-    """Cuts a page into lines: (text, characters, tags, region, article)."""
+    """Cuts a page into lines: (text, characters, tags, region, article, name)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
-        #: Open elements that matter: name, whether it leaves out, region, whether in an article.
-        self.stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
+        self.lines: list[tuple[str, int, int, int, bool, int]] = []
+        #: Open elements that matter: tag, whether it leaves out, region, whether in main (1) or an article (2), place in ``named``.
+        self.stack: list[tuple[str, bool, int, int, int]] = [("", False, 0, 0, 0)]
+        #: Elements with a name: the one around, how sure the name is (0 if it leaves nothing out), whether in an
+        #: article, and whether a section (1) or article (2) was met in it.
+        self.named: list[list[int]] = [[0, 0, 0, 0]]
         self.regions, self.parts, self.tags = 0, [], 0
 
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, _, region, article = self.stack[-1]
-            self.lines.append((text, len(text), max(1, self.tags), region, article))
+            _, _, region, article, name = self.stack[-1]
+            self.lines.append((text, len(text), max(1, self.tags), region, article > 0, name))
             self.tags = 0
         self.parts = []
 
@@ -84,36 +98,57 @@ class Lines(HTMLParser):
         if tag in _CLOSES_P and self.stack[-1][0] == "p":
             self.cut()
             self.stack.pop()
-        _, out, region, article = self.stack[-1]
-        leaves = tag in _NEVER or (tag == "header" and not article) or self._named(tag, attrs)
-        if leaves or tag in _BLOCK or tag == "header":
+        _, out, region, article, name = self.stack[-1]
+        strength = self._strength(tag, attrs, article == 2)
+        leaves = tag in _NEVER or (tag == "header" and not article) or strength == HIDDEN
+        if leaves or strength or tag in _BLOCK or tag == "header":
             if not out:
                 self.cut()
-            if tag in ("article", "main") and not article and not leaves:
-                self.regions += 1
-                region, article = self.regions, True
-            elif tag in _SECTION and not article:
+                if not leaves and not strength and tag in _SECTION:
+                    self._contains(tag)
+            if strength and not leaves:
+                self.named.append([name, strength, article == 2, 0])
+                name = len(self.named) - 1
+            if tag in _SECTION and not article:
                 self.regions += 1
                 region = self.regions
-            self.stack.append((tag, out or leaves, region, article))
-
-    def _named(self, tag, attrs) -> bool:
+            if tag in ("article", "main") and not leaves:
+                article = max(article, 2 if tag == "article" else 1)
+            self.stack.append((tag, out or leaves, region, article, name))
+
+    def _contains(self, tag) -> None:
+        """Named elements around a section that show to be wrappers leave nothing out."""
+        k, met = self.stack[-1][4], 2 if tag in ("article", "main") else 1
+        while k and self.named[k][3] < met:
+            around, strength, article, _ = self.named[k]
+            if met == 2 or (strength == PART and not article):
+                self.named[k][1] = 0
+            self.named[k][3] = met
+            k = around
+
+    def _strength(self, tag, attrs, article) -> int:
+        """How an element is named as what never holds main text; 0 if it isn't."""
         if tag in ("html", "body", "article", "main"):
             names = [v for k, v in attrs if k in ("class", "id") and v] if tag == "article" else []
-            return any(x in ("comment", "comments", "ad", "advert", "advertisement") for v in names for x in re.split(r"[^a-z0-9]+", v.lower()))
+            return HIDDEN if any(x in ("comment", "comments", "ad", "advert", "advertisement") for v in names for x in re.split(r"[^a-z0-9]+", v.lower())) else 0
+        found = NAME if tag == "form" else 0
         for k, v in attrs:
             if not v:
                 if k == "hidden":
-                    return True
-            elif k == "role":
-                if v.lower().strip() in _ROLES:
-                    return True
+                    return HIDDEN
+            elif (k == "role" and v.lower().strip() in _ROLES) or (k == "aria-hidden" and v.lower() == "true"):
+                found = NAME
             elif k in ("class", "id"):
-                if not _NAMES.isdisjoint(re.split(r"[^a-z0-9]+", v.lower())):
-                    return True
-            elif k == "aria-hidden" and v.lower() == "true":
-                return True
-        return False
+                for word in _WORDS.split(v.lower()):
+                    parts = re.split(r"[_\-]+", word)
+                    ends = {parts[0], parts[-1]} & _NAMES if _LAYOUT.isdisjoint(parts) else set()
+                    if article:
+                        ends.discard("header")  # an article's own
+                        if ends & _OTHERS:
+                            return HIDDEN
+                    if ends:
+                        found = max(found, NAME if len(parts) == 1 else PART)
+        return found
 
     def handle_startendtag(self, tag, attrs):
         if tag in _VOID:
@@ -135,11 +170,14 @@ class Lines(HTMLParser):
         if not self.stack[-1][1]:
             self.parts.append(data)
 
-    def read(self, html: str) -> list[tuple[str, int, int, int, bool]]:
+    def read(self, html: str) -> list[tuple[str, int, int, int, bool, int]]:
         self.feed(html)
         self.close()
         self.cut()
-        return self.lines
+        out = [False]  # an element stands after the one around it
+        for around, strength, *_ in self.named[1:]:
+            out.append(out[around] or strength > 0)
+        return [x for x in self.lines if not out[x[5]]]
 
 
 def smoothed(ratio: np.ndarray) -> np.ndarray:

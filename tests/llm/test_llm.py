@@ -318,6 +318,17 @@ def test_main_text_without_an_article():
     assert html_main.main_text(page) == f"{long.strip()}\n\n{long.strip()}"
 
 
+def test_layout_wrappers_are_no_adverts():
+    main = html_main.main_text
+    for tag, wrapper in [("main", 'class="content-sidebar-wrap"'), ("article", 'id="page" class="with-sidebar"'), ("article", 'class="sidebar"'), ("main", 'role="form"'), ("p", 'class="no-footer"'), ("div", 'class="banner-layout sidebar-left"')]:
+        page = f'<body><div {wrapper}><{tag}>Some text.</{tag}><div class="share-buttons">Share</div></div><div class="footer">x</div></body>'
+        assert main(page) == "Some text.", wrapper
+    assert main("<form id=f><main><p>Some text.</p></main></form>") == "Some text."
+    assert main('<main><div class="banner"><article>Some text.</article></div></main>') == "Some text."
+    inside = '<header class="entry-header"><h1>Title</h1></header><p>Some text.</p><div class="ad-slot"><div>Buy</div></div><div id="comments"><article id="r1">lol</article></div>'
+    assert main(f"<article>{inside}</article>") == "Title\n\nSome text."
+
+
 def test_main_text_of_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "no markup & all"), (4, "u", "<p>" * 3000 + "deep"), (5, "u", "<article></article>"), (None, "u", "<p>a" * 2), (6, "u", "<![x<!doctype <<p")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
