@@ -10,9 +10,12 @@ class or id, or, for an element without sections in it or one within an article,
 last part of one. A form or an element with such a role or name that contains an article or
 main is a wrapper and leaves nothing out, save an article's own comments and related articles.
 
-The ratios of characters to tags of a page's lines are smoothed by a Gaussian, and a
-region's ratio is the mean of its lines' by their characters. A threshold between the two
-clusters of regions' ratios (two means) selects; where a page has article or main
+The ratios of characters to tags of a page's lines are smoothed by a Gaussian. Regions of
+one container whose text is alike, mostly in links or mostly not, are taken together, and
+their ratio is the mean of their lines' by their characters. A threshold between the two
+clusters of ratios (two means) selects, if the clusters are apart: the lower one goes where
+its text is mostly in links, which is what menus and lists of teasers are made of; other
+short paragraphs, headings and lists of an article stay. Where a page has article or main
 elements only those are candidates, and the best region always stays. All lines of a
 selected region are kept, in page order.
 
@@ -58,28 +61,32 @@ PART, NAME, HIDDEN = 1, 2, 3
 
 #: Standard deviation, in lines, of the smoothing, and its reach.
 SIGMA, REACH = 1.0, 2
+#: Share of a region's characters in links from which it may be a menu.
+MENU = 0.5
 
 
 class Lines(HTMLParser):
-    """Cuts a page into lines: (text, characters, tags, region, article, name)."""
+    """Cuts a page into lines: (text, characters, tags, region, article, name, characters in links)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool, int]] = []
+        self.lines: list[tuple[str, int, int, int, bool, int, int]] = []
         #: Open elements that matter: tag, whether it leaves out, region, whether in main (1) or an article (2), place in ``named``.
         self.stack: list[tuple[str, bool, int, int, int]] = [("", False, 0, 0, 0)]
         #: Elements with a name: the one around, how sure the name is (0 if it leaves nothing out), whether in an
         #: article, and whether a section (1) or article (2) was met in it.
         self.named: list[list[int]] = [[0, 0, 0, 0]]
         self.regions, self.parts, self.tags = 0, [], 0
+        #: The region around each region; characters in links so far, and open elements at an open link's start.
+        self.around, self.linked, self.link = [0], 0, 0
 
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             _, _, region, article, name = self.stack[-1]
-            self.lines.append((text, len(text), max(1, self.tags), region, article > 0, name))
+            self.lines.append((text, len(text), max(1, self.tags), region, article > 0, name, min(self.linked, len(text))))
             self.tags = 0
-        self.parts = []
+        self.parts, self.linked = [], 0
 
     def parse_html_declaration(self, i):
         try:
@@ -101,6 +108,8 @@ class Lines(HTMLParser):
         _, out, region, article, name = self.stack[-1]
         strength = self._strength(tag, attrs, article == 2)
         leaves = tag in _NEVER or (tag == "header" and not article) or strength == HIDDEN
+        if tag == "a":
+            self.link = len(self.stack)
         if leaves or strength or tag in _BLOCK or tag == "header":
             if not out:
                 self.cut()
@@ -111,6 +120,7 @@ class Lines(HTMLParser):
                 name = len(self.named) - 1
             if tag in _SECTION and not article:
                 self.regions += 1
+                self.around.append(0 if tag in ("html", "body") else region)
                 region = self.regions
             if tag in ("article", "main") and not leaves:
                 article = max(article, 2 if tag == "article" else 1)
@@ -156,12 +166,16 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
+        if tag == "a":
+            self.link = 0
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] == tag:
                 if not self.stack[-1][1]:
                     self.cut()
                 # text that an element leaves out never got in
                 del self.stack[k:]
+                if k < self.link:
+                    self.link = 0
                 return
         if tag == "p" and not self.stack[-1][1]:
             self.cut()
@@ -169,8 +183,10 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not self.stack[-1][1]:
             self.parts.append(data)
+            if self.link:
+                self.linked += len(" ".join(data.split()))
 
-    def read(self, html: str) -> list[tuple[str, int, int, int, bool, int]]:
+    def read(self, html: str) -> list[tuple[str, int, int, int, bool, int, int]]:
         self.feed(html)
         self.close()
         self.cut()
@@ -201,22 +217,25 @@ def threshold(x: np.ndarray) -> float:
 
 def main_text(html: str) -> str:
     """The blocks of a page's main text, joined by an empty line."""
-    lines = Lines().read(html)
+    page = Lines()
+    lines = page.read(html)
     if not lines:
         return ""
-    size, tags = np.array([x[1] for x in lines], float), np.array([x[2] for x in lines], float)
+    size, tags, linked = (np.array([x[k] for x in lines], float) for k in (1, 2, 6))
     region, article = np.array([x[3] for x in lines]), np.array([x[4] for x in lines])
     ratio = smoothed(size / tags)
     pool = article if article.any() else np.ones(len(lines), bool)
-    names = np.unique(region[pool])
-    score = np.array([np.average(ratio[region == r], weights=size[region == r]) for r in names])
-    weight = np.array([size[region == r].sum() for r in names])
-    best = names[np.argmax(score * np.sqrt(weight))]
-    chosen = set(names[score >= threshold(score)].tolist()) | {int(best)}
-    if not article.any() and len(names) > 1:
-        # a single short line that the page's body merely ends with is no region of text
-        chosen = {r for r in chosen if weight[names == r][0] >= 0.05 * weight.max()} | {int(best)}
-    return "\n\n".join(x[0] for x in lines if x[3] in chosen and (x[4] or not article.any()))
+    names, of = np.unique(region[pool], return_inverse=True)
+    weight, links = np.bincount(of, size[pool]), np.bincount(of, linked[pool])
+    menu = links >= MENU * weight
+    # regions of one container are alike or not by where their text is
+    _, group = np.unique(np.column_stack([np.array(page.around)[names], menu]), axis=0, return_inverse=True)
+    group = group.ravel()[of]
+    weight, links = np.bincount(group, size[pool]), np.bincount(group, linked[pool])
+    score = np.bincount(group, size[pool] * ratio[pool]) / weight
+    chosen = (score >= threshold(score)) | (links < MENU * weight)
+    chosen[np.argmax(score * np.sqrt(weight))] = True
+    return "\n\n".join(lines[i][0] for i, g in zip(np.flatnonzero(pool), group, strict=True) if chosen[g])
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

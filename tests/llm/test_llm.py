@@ -329,6 +329,17 @@ def test_layout_wrappers_are_no_adverts():
     assert main(f"<article>{inside}</article>") == "Title\n\nSome text."
 
 
+def test_sections_of_one_text_stay_together():
+    long, join = "A sentence that says something and goes on for quite a while. " * 3, "\n\n".join
+    texts = [long.strip(), "Short one.", "Not much longer than that.", long.strip()]
+    assert html_main.main_text("<body>" + "".join(f"<article><p>{t}</p></article>" for t in texts) + "</body>") == join(texts)
+    sections = f"<div><h2>Head</h2></div><div><p>{long}</p></div><div><p>Short.</p></div><div><ul><li>One<li>Two</ul></div><div><p>{long}</p></div>"
+    want = join(["Head", long.strip(), "Short.", "One", "Two", long.strip()])
+    menu = "<div>" + "".join(f"<div><a href=/{i}>Topic {i}</a></div>" for i in range(8)) + "</div>"
+    for page in (sections, f"<div>{sections}</div>", f"<table><tr><td>{menu}<td>{sections}</table>", menu + sections, f"<center>{menu}<div>{sections}</div></center>"):
+        assert html_main.main_text(f"<body>{page}</body>") == want
+
+
 def test_main_text_of_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "no markup & all"), (4, "u", "<p>" * 3000 + "deep"), (5, "u", "<article></article>"), (None, "u", "<p>a" * 2), (6, "u", "<![x<!doctype <<p")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
