@@ -1,24 +1,31 @@
 r"""License scans with DataFrame functions: a trained classifier of paragraphs.
 
-A paragraph is a line. Of those with a word that every template has one of (``ANCHOR``),
-word 1- to 3-grams of the templates' vocabulary are looked up, and a softmax regression over
+Paragraphs end at blank lines, which have no letter or digit. Notices are looked for in each
+line and, as they may be wrapped, in each paragraph's words across its lines: in windows of
+``WIDE`` words, every ``WIDE / 2``, so that any run of half as many words is whole in one.
+Of lines and windows with a word of ``GATE``, which every text that can be confirmed has one
+of, word 1- to 3-grams of the templates' vocabulary are looked up, and a softmax regression over
 them gives each family's chance, with a class ``unknown`` and a temperature that calibrates
 the chances. A family other than unknown with a chance of ``CHANCE`` or more is confirmed
-if one of the family's templates has ``CONFIRM`` of its word pairs in the paragraph.
+if one of the family's templates has ``CONFIRM`` of its word pairs in the line or window.
+A family that windows of a paragraph show and none of its lines counts there once; a line
+whose matched pairs are all in the template of another family that a window shows is a piece
+of that notice and does not count.
 
 The regression is fitted here, on paragraphs generated from the templates (words lost,
 words around) and from sentences that merely use their words; no table is read for it.
 Weights, vocabulary and templates are constants of the expression, of a size that
 the templates fix. Scanning is one narrow pass of built-in functions, without a
-shuffle, and only paragraphs with an anchor are scored.
+shuffle, and only lines and windows with a word of ``GATE`` are scored.
 
 Defined results: a null text counts as empty; no paragraph gives family ``none``; of several
-families the one of the most confirmed paragraphs counts, then the first by name; repeated
+families the one of the most confirmed lines and paragraphs counts, then the first by name; repeated
 rows give equal rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -28,6 +35,8 @@ from pyspark.sql import functions as F
 from ._base import documents
 
 CHANCE, CONFIRM = 0.5, 0.6
+#: Words of a window; the longest template has less than half as many.
+WIDE = 64
 
 #: Notices of public licences, by family; digits read as 0 (fixed values).
 TEMPLATES = {
@@ -45,9 +54,6 @@ TEMPLATES = {
     "proprietary": ("all rights reserved", "copyright 0 all rights reserved no part may be reproduced without permission"),
 }
 FAMILIES = ("unknown", *sorted(TEMPLATES))
-#: Every template has one of these.
-ANCHOR = r"(?i)licen[cs]|copyright|rights reserved|permi(?:ssion|tted)|cc0"
-
 _OTHER = ("the driver lost his license last week", "with your permission we will start", "copyright law was debated in court", "a poetic licence of the author", "the fishing license costs 0 euros", "he asked for permission to leave", "the license plate of the car", "they were permitted to enter", "license fees rose by 0 percent", "the general public was not permitted inside", "version 0.0 of the report was released under pressure")
 _AROUND = "the of and a in to was that he it for on as with his at by this from they she which or we an there were their been has when who will more no if out so what up said about than into them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many off before must well back through years where much your way down should because long each just state".split()
 
@@ -59,6 +65,27 @@ def words_of(paragraph: str) -> list[str]:
     return _WORD.findall(_DIGITS.sub("0", paragraph.lower()))
 
 
+#: Words of templates that are too frequent elsewhere to select by, if there are others.
+_PLAIN = frozenset("all author charge copy file free general in is it law may mit part public software terms under use version without work".split())
+
+
+def gate() -> list[str]:
+    """Words of which any text with ``CONFIRM`` of some template's word pairs has one.
+
+    Pairs without such a word are fewer than the pairs that confirm, for each template.
+    """
+    every, out = [words_of(t) for ts in TEMPLATES.values() for t in ts], set()
+    for words in sorted(every, key=len):
+        pairs = set(zip(words, words[1:], strict=False))
+        while len(left := [x for x in pairs if out.isdisjoint(x)]) >= (len(words) - 1) * CONFIRM:
+            some = sorted({w for x in left for w in x if w.isalpha() and w not in _AROUND})
+            out.add(max(some, key=lambda w: (w not in _PLAIN, sum(w in x for x in left), sum(w in e for e in every), len(w))))
+    return sorted(out)
+
+
+GATE = gate()
+
+
 def grams(words: list[str]) -> list[str]:
     return [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
 
@@ -113,8 +140,9 @@ def _constant(values, kind: str) -> Column:
 def scan(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row: doc_id, license, n_paragraphs, n_confirmed, families, chance.
 
-    ``n_paragraphs`` have an anchor; ``families`` are those confirmed, in order of the text;
-    ``chance`` is the greatest chance among confirmed paragraphs, 0 without any.
+    ``n_paragraphs`` are the lines with a word of ``GATE``; ``n_confirmed`` are lines, and
+    families of paragraphs that windows only show; ``families`` are those confirmed, in order
+    of the text's paragraphs; ``chance`` is the greatest chance of those, 0 without any.
     """
     vocabulary, w, b = model
     many = len(vocabulary)
@@ -124,28 +152,44 @@ def scan(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text") ->
 
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("body"))
-    lines = F.filter(F.split("body", "\n"), lambda p: p.rlike(ANCHOR))
-    rows = rows.select("doc_id", F.when(F.col("body").rlike(ANCHOR), lines).otherwise(F.array().cast("array<string>")).alias("lines"))
-    words = F.transform("lines", lambda p: F.regexp_extract_all(F.regexp_replace(F.lower(p), "[0-9]+", "0"), F.lit("[a-z0-9]+"), F.lit(0)))
-    rows = rows.select("doc_id", words.alias("words"))
+    gated = r"(?i)(?<![a-z0-9])(?:" + "|".join(GATE) + ")(?![a-z0-9])"
+    words = lambda p: F.regexp_extract_all(F.regexp_replace(F.lower(p), "[0-9]+", "0"), F.lit("[a-z0-9]+"), F.lit(0))
+    none = F.array().cast("array<string>")
+    # a paragraph, then units: its number, whether a window, words
+    parts = F.filter(F.split("body", r"\n(?:[^A-Za-z0-9\n]*\n)+"), lambda p: p.rlike(gated))
+    rows = rows.select("doc_id", F.when(F.col("body").rlike(gated), parts).otherwise(none).alias("parts"))
+    rows = rows.select("doc_id", F.transform("parts", lambda p: F.struct(F.filter(F.split(p, "\n"), lambda x: x.rlike(gated)).alias("lines"), F.when(p.contains("\n"), words(p)).otherwise(none).alias("all"))).alias("parts"))
+    starts = lambda v: F.sequence(F.lit(0), F.greatest(F.ceil((F.size(v) - WIDE) / F.lit(WIDE / 2)), F.lit(0)).cast("int"))
+    windows = lambda v: F.filter(F.transform(starts(v), lambda i: F.slice(v, i * (WIDE // 2) + 1, WIDE)), lambda x: F.arrays_overlap(x, _constant(GATE, "string")))
+    unit = lambda at, wide, v: F.struct(at.alias("part"), F.lit(wide).alias("wide"), v.alias("words"))
+    units = F.flatten(F.transform("parts", lambda p, at: F.concat(F.transform(p["lines"], lambda x: unit(at, False, words(x))), F.transform(windows(p["all"]), lambda x: unit(at, True, x)))))
+    rows = rows.select("doc_id", units.alias("words"))
 
     def run(v, n):
         many = F.size(v) - (n - 1)
         some = F.transform(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), lambda i: F.array_join(F.slice(v, i, n), " "))
         return F.when(many > 0, some).otherwise(F.array().cast("array<string>"))
 
-    rows = rows.select("doc_id", F.transform("words", lambda v: F.struct(F.array_distinct(F.concat(v, run(v, 2), run(v, 3))).alias("grams"), F.array_distinct(run(v, 2)).alias("pairs"))).alias("p"))
+    rows = rows.select("doc_id", F.transform("words", lambda u: F.struct(u["part"].alias("part"), u["wide"].alias("wide"), F.array_distinct(F.concat(u["words"], run(u["words"], 2), run(u["words"], 3))).alias("grams"), F.array_distinct(run(u["words"], 2)).alias("pairs"))).alias("p"))
     known = lambda g: F.filter(F.transform(g, lambda x: F.array_position(terms, x)), lambda i: i > 0)
-    rows = rows.select("doc_id", F.transform("p", lambda x: F.struct(known(x["grams"]).alias("at"), x["pairs"].alias("pairs"))).alias("p"))
+    rows = rows.select("doc_id", F.transform("p", lambda x: F.struct(known(x["grams"]).alias("at"), x["pairs"].alias("pairs"), x["part"].alias("part"), x["wide"].alias("wide"))).alias("p"))
     zero = F.lit(0.0)
     logit = lambda at: F.transform(F.sequence(F.lit(0), F.lit(len(FAMILIES) - 1)), lambda k: F.aggregate(at, F.get(constants, k), lambda a, i: a + F.get(weights, (k * many + i - 1).cast("int"))))
-    rows = rows.select("doc_id", F.transform("p", lambda x: F.struct(logit(x["at"]).alias("z"), x["pairs"].alias("pairs"))).alias("p"))
-    rows = rows.select("doc_id", F.transform("p", lambda x: F.struct(F.array_max(x["z"]).alias("top"), x["z"].alias("z"), x["pairs"].alias("pairs"))).alias("p"))
+    rows = rows.select("doc_id", F.transform("p", lambda x: F.struct(logit(x["at"]).alias("z"), x["pairs"].alias("pairs"), x["part"].alias("part"), x["wide"].alias("wide"))).alias("p"))
+    rows = rows.select("doc_id", F.transform("p", lambda x: F.struct(F.array_max(x["z"]).alias("top"), x["z"].alias("z"), x["pairs"].alias("pairs"), x["part"].alias("part"), x["wide"].alias("wide"))).alias("p"))
     total = lambda x: F.aggregate(x["z"], zero, lambda a, z: a + F.exp(z - x["top"]))
-    rows = rows.select("doc_id", F.transform("p", lambda x: F.struct((F.array_position(x["z"], x["top"]) - 1).cast("int").alias("of"), (F.lit(1.0) / total(x)).alias("chance"), x["pairs"].alias("pairs"))).alias("p"))
+    rows = rows.select("doc_id", F.transform("p", lambda x: F.struct((F.array_position(x["z"], x["top"]) - 1).cast("int").alias("of"), (F.lit(1.0) / total(x)).alias("chance"), x["pairs"].alias("pairs"), x["part"].alias("part"), x["wide"].alias("wide"))).alias("p"))
     alike = lambda x: F.exists(templates, lambda t: (t["of"] == x["of"]) & (F.size(F.array_intersect(t["pairs"], x["pairs"])) >= F.size(t["pairs"]) * CONFIRM))
     sure = F.filter("p", lambda x: (x["of"] > 0) & (x["chance"] >= CHANCE) & alike(x))
-    rows = rows.select("doc_id", F.size("p").cast("long").alias("n_paragraphs"), F.transform(sure, lambda x: F.struct(F.get(names, x["of"]).alias("family"), x["chance"].alias("chance"))).alias("found"))
+    rows = rows.select("doc_id", F.size(F.filter("p", lambda x: ~x["wide"])).cast("long").alias("n_paragraphs"), F.transform(sure, lambda x: F.struct(F.get(names, x["of"]).alias("family"), x["chance"].alias("chance"), x["part"].alias("part"), x["wide"].alias("wide"), x["of"].alias("of"), x["pairs"].alias("pairs"))).alias("sure"))
+    # a line that is a piece of the notice of another family that a window shows is no notice of its own
+    within = lambda t, x, y: F.exists(templates, lambda u: (u["of"] == y["of"]) & (F.size(F.array_except(F.array_intersect(t["pairs"], x["pairs"]), u["pairs"])) == 0))
+    own = lambda x, y: F.exists(templates, lambda t: (t["of"] == x["of"]) & (F.size(F.array_intersect(t["pairs"], x["pairs"])) >= F.size(t["pairs"]) * CONFIRM) & ~within(t, x, y))
+    piece = lambda x: F.exists("sure", lambda y: y["wide"] & (y["part"] == x["part"]) & (y["of"] != x["of"]) & ~own(x, y))
+    rows = rows.withColumn("sure", F.when(F.size("sure") > 1, F.filter("sure", lambda x: x["wide"] | ~piece(x))).otherwise(F.col("sure")))
+    # of a paragraph's windows the first of a family that no line shows
+    first = F.filter("sure", lambda x, i: ~x["wide"] | ~F.exists(F.slice("sure", 1, i), lambda y: (y["part"] == x["part"]) & (y["family"] == x["family"])))
+    rows = rows.select("doc_id", "n_paragraphs", first.alias("found"))
     found = F.transform("found", lambda x: x["family"])
     rows = rows.select("doc_id", "n_paragraphs", "found", F.array_distinct(found).alias("kinds"))
     votes = F.transform("kinds", lambda k: F.struct(F.size(F.filter("found", lambda x: x["family"] == k)).alias("n"), k.alias("family")))

@@ -366,6 +366,28 @@ def test_license_families(spark, odd, model):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_licenses_wrapped_over_lines(spark, model):
+    rng = random.Random(9)
+    bsd = "Copyright (c) 2001, A. Body\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    gpl = "# This is free software: you can redistribute it and/or modify it\n# under the terms of the GNU General Public\n# License as published"
+    both = "Released under the\nMIT License.\n\n\nLicensed under the Apache\nLicense, Version 2.0."
+    rows = [(bsd, "bsd", 1), (gpl, "gpl", 1), ("x y z\n" * 300 + gpl + "\nx y z" * 300, "gpl", 1), (both, "apache", 2), ("Redistribution and use in source\n\nand binary forms, with or without modification", "none", 0)]
+    for family, templates in license_scan.TEMPLATES.items():
+        for t in templates:
+            words = [rng.choice(["bo", "tima", "seru"]) for _ in range(rng.randint(0, 70))] + t.split()
+            rows.append(("\n".join(" ".join(words[i : i + 3]) for i in range(0, len(words), 3)), family, 1))
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id long, text string")
+    got = [(r.license, r.n_confirmed) for r in license_scan.scan(df, model).orderBy("doc_id").collect()]
+    assert got == [(x, n) for _, x, n in rows]
+
+
+def test_gate_loses_no_confirmed_text():
+    for t in (t for ts in license_scan.TEMPLATES.values() for t in ts):
+        words = license_scan.words_of(t)
+        pairs = set(zip(words, words[1:], strict=False))
+        assert sum(set(license_scan.GATE).isdisjoint(x) for x in pairs) < (len(words) - 1) * license_scan.CONFIRM
+
+
 def test_regression_on_held_out_paragraphs(model):
     vocabulary, w, b = model
     at = {g: i for i, g in enumerate(vocabulary)}
