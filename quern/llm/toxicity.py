@@ -22,6 +22,7 @@ labelled rows of both classes only seeds count, with fixed weights.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -49,7 +50,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _STOP = re.compile(r"[.!?;:\n]")
 _QUOTES = '"“”«»„'
 
-FEATURES = 7
+FEATURES = 9
 
 
 def terms_of(text: str) -> set[str]:
@@ -84,31 +85,53 @@ class Grammar:
         return found
 
     def features(self, text: str) -> list[float]:
-        """Plain, negated and reported weight, clauses with a target, threats at a target,
-        the heaviest match, and matches a hundred words; all 0 without a match."""
+        """Plain, negated and reported weight, clauses with a target, plain, negated and
+        reported threats at a target, the heaviest match, and matches a hundred words; all 0 without a match."""
         low = text.lower()
         found = self.matches(low)
         if not found:
             return [0.0] * FEATURES
-        states, aimed, threats, heaviest, n = [0.0, 0.0, 0.0], 0, 0, 0.0, 0
+        stops, clause, until = [m.start() for m in _STOP.finditer(low)], None, -1
+        states, threats, aimed, heaviest, n = [0.0, 0.0, 0.0], [0, 0, 0], 0, 0.0, 0
         for at in sorted(found):
             weight, kind = found[at]
-            begin = 0
-            for m in _STOP.finditer(low, max(0, at - 400), at):
-                begin = m.end()
-            begin = max(begin, at - 400)
-            stop = _STOP.search(low, at)
-            end = min(stop.start() if stop else len(low), at + 400)
-            before, after = _WORD.findall(low, begin, at), _WORD.findall(low, at, end)
-            target = not TARGETS.isdisjoint(before) or not TARGETS.isdisjoint(after[1:])
+            if at >= until:
+                k = bisect_left(stops, at)
+                until = stops[k] if k < len(stops) else len(low)
+                clause = Clause(low, stops[k - 1] + 1 if k else 0, until)
+            state, target = clause.state(at)
             if kind:
-                threats += target
+                threats[state] += target
                 continue
-            quoted = sum(low.count(q, begin, at) for q in _QUOTES) % 2
-            state = 2 if quoted or not SAYING.isdisjoint(before) else 1 if not NEGATIONS.isdisjoint(before[-4:]) else 0
             states[state] += weight
             aimed, heaviest, n = aimed + target, max(heaviest, weight), n + 1
-        return [*np.log1p(states).tolist(), float(np.log1p(aimed)), float(np.log1p(threats)), heaviest, 100 * n / (low.count(" ") + 1)]
+        return [*np.log1p(states).tolist(), float(np.log1p(aimed)), *np.log1p(threats).tolist(), heaviest, 100 * n / (low.count(" ") + 1)]
+
+
+class Clause:
+    """A clause, read once whatever its length, for the matches in it."""
+
+    def __init__(self, low: str, begin: int, end: int):
+        found = list(_WORD.finditer(low, begin, end))
+        self.low, self.words = low, [m[0] for m in found]
+        self.starts, self.ends = [m.start() for m in found], [m.end() for m in found]
+        self.targets = sum(w in TARGETS for w in self.words)
+        self.said = next((i for i, w in enumerate(self.words) if w in SAYING), len(self.words))
+        self.quotes = [i for i in range(begin, end) if low[i] in _QUOTES]
+
+    def state(self, at: int) -> tuple[int, bool]:
+        """Plain (0), negated (1) or reported (2), and whether there is a target, for the word at a place."""
+        i = bisect_left(self.starts, at)
+        cut = i > 0 and self.ends[i - 1] > at  # a word that an apostrophe cuts: its first part stands before
+        own = i - 1 if cut else i
+        before = self.words[max(0, own - 4) : own]
+        if cut:
+            before = [*before, *_WORD.findall(self.low, self.starts[own], at)][-4:]
+        others = self.targets - (own < len(self.words) and self.words[own] in TARGETS)
+        target = others > 0 or (cut and before[-1:] != [] and before[-1] in TARGETS)
+        if bisect_left(self.quotes, at) % 2 or self.said < own or (cut and not SAYING.isdisjoint(before)):
+            return 2, target
+        return int(not NEGATIONS.isdisjoint(before)), target
 
 
 def grammar(lexicon: dict[str, float]) -> Grammar:
@@ -191,7 +214,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 #: Constant and weights where labelled rows of both classes are missing.
-FALLBACK = [-3.0, 2.5, 0.5, 0.5, 0.5, 2.0, 0.5, 0.1]
+FALLBACK = [-3.0, 2.5, 0.5, 0.5, 0.5, 2.0, 0.5, 0.5, 0.5, 0.1]
 
 
 def train(docs: DataFrame, labels: DataFrame, **columns) -> tuple[dict[str, float], list[float]]:

@@ -298,6 +298,16 @@ def test_clauses_change_the_state():
     assert states('he said "idiot"')[2] and not states("idiotic")[0] and g.features("") == [0.0] * toxicity.FEATURES
 
 
+def test_threats_and_long_clauses_have_states():
+    g = toxicity.Grammar({"idiot$": 3.0})
+    threat = lambda t: [x > 0 for x in g.features(t)[4:7]]
+    assert threat("I will kill you") == [True, False, False]
+    assert threat("I will not kill you") == [False, True, False]
+    assert threat('he said "I will kill you"') == threat('he: "I will kill you"') == [False, False, True]
+    assert threat("I will kill time") == [False] * 3
+    assert g.features("he said " + "lo " * 300 + "idiot")[2] > 0 and g.features("idiot " + "lo " * 300 + "you")[3] > 0
+
+
 # main text
 
 
