@@ -10,11 +10,14 @@ Most texts are words with one space or line break between, and there the pre-tok
 pattern always begins a new token before the space; such texts are cut at spaces first and
 whole words are remembered. Texts with other white space go through the pattern whole.
 
-Memory: remembered words are dropped beyond ``CACHE`` entries; a fragment of any length
-merges in n log n time with a heap. Nothing is shuffled.
-
-Defined results: a null text counts as empty and has no ids; repeated rows give equal
-rows; other columns are ignored.
+Memory: words are remembered in two generations of ``CACHE`` entries, of which the older one
+goes when the younger is full, and fragments up to ``FRAGMENTS``; a fragment of any length
+merges in n log n time with a heap. Nothing is shuffled, and a worker that goes on to
+another operator drops all of it.
+
+Defined results: a null text counts as empty and has no ids; a text of any length is encoded
+whole; repeated rows give equal rows, and ties don't arise; an empty table gives no row; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +33,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import batch, documents, small_batches, texts, worker_cache
+from ._base import batch, documents, mapped, small_batches, texts, worker_cache
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Words that a worker remembers.
-CACHE = 400_000
+#: Words that a worker remembers in each of two generations, and fragments.
+CACHE, FRAGMENTS = 150_000, 60_000
+#: Marks that may end a word.
+MARKS = ".,;:!?"
 #: Fragments up to so many bytes merge by a plain scan, longer ones with a heap.
 SCAN = 48
 
@@ -94,6 +99,7 @@ class ByteBPE:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.fragments: dict[bytes, tuple[int, ...]] = {}
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
 
     def cut(self, piece: bytes) -> list[bytes]:
@@ -156,7 +162,7 @@ class ByteBPE:
                 if ids is None:
                     ids = self.merge(fragment)
                     if len(fragment) <= 64:
-                        if len(known) >= CACHE:
+                        if len(known) >= FRAGMENTS:
                             known.clear()
                         known[fragment] = ids
                 out += ids
@@ -173,29 +179,40 @@ class ByteBPE:
                 return self._ids(text)
             begin = self._ids(head)
             if len(head) <= 64:
-                if len(self.first) >= CACHE // 4:
+                if len(self.first) >= FRAGMENTS // 4:
                     self.first.clear()
                 self.first[head] = begin
-        words = self.words
-        out = list(map(words.get, pieces[1:]))
+        out = list(map(self.words.get, pieces[1:]))
         if None in out:
             at = -1
             for _ in range(out.count(None)):
                 at = out.index(None, at + 1)
-                p = pieces[at + 1]
-                ids = words.get(p)
-                if ids is None:
-                    # a word may follow its space or line break, but neither begin nor end in other white space
-                    if not p or (p[-1].isspace() and p != "\n") or (p[0].isspace() and (p[0] != "\n" or p[1:2].isspace())):
-                        return self._ids(text)
-                    ids = self._ids(p if p[0] == "\n" else " " + p)
-                    if len(p) <= 64:
-                        if len(words) >= CACHE:
-                            words.clear()
-                        words[p] = ids
-                out[at] = ids
+                out[at] = self._word(pieces[at + 1])
+                if out[at] is None:
+                    return self._ids(text)
         return begin + b"".join(out)
 
+    def _word(self, p: str) -> bytes | None:
+        """Ids of what stands between two spaces, the first of which counts to it, or a line break
+        does; None if it begins or ends in other white space. Marks after letters are a
+        token of their own, so a word and its marks are remembered apart."""
+        ids = self.words.get(p)
+        if ids is not None:
+            return ids
+        ids = self.old.get(p)
+        if ids is None:
+            core = p.rstrip(MARKS)
+            if len(core) < len(p) and core.isalpha():
+                return self._word(core) + self._ids(p[len(core) :])
+            if not p or (p[-1].isspace() and p != "\n") or (p[0].isspace() and (p[0] != "\n" or p[1:2].isspace())):
+                return None
+            ids = self._ids(p if p[0] == "\n" else " " + p)
+        if len(p) <= 64:
+            if len(self.words) >= CACHE:
+                self.old, self.words = self.words, {}
+            self.words[p] = ids
+        return ids
+
     def encode(self, text: str) -> np.ndarray:
         """The ids of ``text``; special tokens' strings give their ids."""
         if self.special and any(x in text for x in self.specials):
@@ -252,7 +269,8 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
                 rows["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             yield batch(schema, doc_id=b.column(0), **rows)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ", ".join(f"{a} {c}" for a, _, c in out))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return mapped(rows, run, ", ".join(f"{a} {c}" for a, _, c in out), "bpe")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

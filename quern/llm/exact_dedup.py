@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import batch, documents, small_batches
+from ._base import batch, documents, mapped, small_batches
 
 #: Bytes of labels that one task's tries hold before they spill.
 TRIE_BYTES = 48 << 20
@@ -192,9 +192,9 @@ def owners(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", trie_byt
     small_batches(docs.sparkSession)
     body = docs.select(F.encode(normalised(F.col(text)), "UTF-8").alias("body"), F.col(doc_id).cast("long").alias("owner"))
     rows = body.select(F.octet_length("body").cast("long").alias("length"), F.unhex(F.sha2("body", 256)).alias("digest"), "body", "owner", F.lit(1).cast("long").alias("copies"))
-    local = rows.mapInArrow(_combine(trie_bytes), _ROW_SQL)
+    local = mapped(rows, _combine(trie_bytes), _ROW_SQL, "exact_dedup")
     dealt = local.repartition("length", "digest").sortWithinPartitions("length", "digest")
-    return dealt.mapInArrow(_owners(trie_bytes), "length long, digest binary, owner long, copies long")
+    return mapped(dealt, _owners(trie_bytes), "length long, digest binary, owner long, copies long", "exact_dedup")
 
 
 def mark_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import batch, small_batches, texts
+from ._base import batch, mapped, small_batches, texts
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SECTION = frozenset("article main section div td body html center fieldset details".split())
@@ -249,7 +249,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             yield batch(schema, page_id=b.column(0), url=b.column(1), text=found, n_chars=list(map(len, found)))
 
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return mapped(rows, run, "page_id long, url string, text string, n_chars long", "html_main")
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

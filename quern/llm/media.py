@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import batch, documents, small_batches
+from ._base import batch, documents, mapped, small_batches
 
 #: Samples of a row, which payloads are padded to a multiple of.
 ROW = 576
@@ -332,7 +332,8 @@ def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             made = [payload_of(t) for t in b.column(1).to_pylist()]
             yield batch(schema, doc_id=b.column(0), n_bytes=[n for n, _ in made], media=[write_jpeg(p) for _, p in made])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return mapped(rows, run, "doc_id long, n_bytes long, media binary", "media")
 
 
 def read_features(media: DataFrame) -> DataFrame:
@@ -350,7 +351,7 @@ def read_features(media: DataFrame) -> DataFrame:
             columns = list(map(list, zip(*rows, strict=True))) if rows else [[]] * 8
             yield batch(schema, doc_id=b.column(0), n_bytes=b.column(1), **dict(zip(schema.names[2:], columns, strict=True)))
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, feature string")
+    return mapped(media.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, feature string", "media")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import batch, documents, small_batches, texts
+from ._base import batch, documents, mapped, small_batches, texts
 
 KINDS = ("assign", "access", "hex", "crf")
 
@@ -295,7 +295,8 @@ def scan(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "tex
                 rows["n_crf"].append(len(every) - len(base))
             yield batch(schema, doc_id=b.column(0), **rows)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return mapped(rows, run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long", "secret_scan")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

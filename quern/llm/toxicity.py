@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import batch, documents, small_batches, texts, worker_cache
+from ._base import batch, documents, mapped, small_batches, texts, worker_cache
 
 #: Labelled rows that the fit reads at most, and terms that the lexicon holds at most.
 TRAIN_ROWS, LEXICON = 20_000, 4_000
@@ -187,7 +187,7 @@ def _chunks(many: list, n: int = 50_000):
 
 def learn_lexicon(train: DataFrame, limit: int = LEXICON) -> dict[str, float]:
     """Seeds and the terms that mark toxic rows, with weights; a term within another is left out."""
-    counts = train.mapInArrow(_count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = mapped(train, _count, "term string, toxic long, clean long", "toxicity").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     marks = counts.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
     best = marks.orderBy(F.desc(F.col("toxic") / (F.col("clean") + 1)), "term").limit(limit).collect()
     lexicon = {f"{x}$": 3.0 for x in INSULTS}
@@ -229,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, **columns) -> tuple[dict[str, floa
         for b in batches:
             yield batch(schema, x=[own.features(t) for t in texts(b.column(0))], label=b.column(1).cast(pa.int32()))
 
-    found = rows.mapInArrow(run, "x array<double>, label int").collect()
+    found = mapped(rows, run, "x array<double>, label int", "toxicity").collect()
     y = np.array([r["label"] > 0 for r in found], float)
     if not len(y) or y.min() == y.max():
         return lexicon, FALLBACK
@@ -239,6 +239,11 @@ def train(docs: DataFrame, labels: DataFrame, **columns) -> tuple[dict[str, floa
     return lexicon, _fit(x[order], y[order]).tolist()
 
 
+def _chance(own: Grammar, w: np.ndarray, some: list[str]) -> np.ndarray:
+    x = np.array([own.features(t) for t in some]).reshape(-1, FEATURES)
+    return np.round(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))), 9)
+
+
 def score(docs: DataFrame, model: tuple[dict[str, float], list[float]], doc_id="doc_id", text="text") -> DataFrame:
     """One row for each row: doc_id, held_out, score, predicted."""
     small_batches(docs.sparkSession)
@@ -249,12 +254,10 @@ def score(docs: DataFrame, model: tuple[dict[str, float], list[float]], doc_id="
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
         w = np.array(weights)
         for b in batches:
-            x = np.array([own.features(t) for t in texts(b.column(2))]).reshape(-1, FEATURES)
-            p = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
-            yield batch(schema, doc_id=b.column(0), held_out=b.column(1), score=np.round(p, 9))
+            yield batch(schema, doc_id=b.column(0), held_out=b.column(1), score=_chance(own, w, texts(b.column(2))))
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id).cast("long")).alias("held_out"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return mapped(rows, run, "doc_id long, held_out boolean, score double", "toxicity").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_clean(docs: DataFrame, model: tuple[dict[str, float], list[float]], text="text") -> DataFrame:
@@ -262,15 +265,12 @@ def keep_clean(docs: DataFrame, model: tuple[dict[str, float], list[float]], tex
     small_batches(docs.sparkSession)
     lexicon, weights = model
 
-    @F.pandas_udf("boolean")
-    def clean(column):
+    def run(batches):
         own, w = grammar(lexicon), np.array(weights)
-        x = np.array([own.features(t or "") for t in column]).reshape(-1, FEATURES)
-        import pandas as pd
-
-        return pd.Series(np.round(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))), 9) < 0.5)
+        for b in batches:
+            yield b.filter(pa.array(_chance(own, w, texts(b.column(text))) < 0.5))
 
-    return docs.where(clean(F.col(text)))
+    return mapped(docs, run, docs.schema, "toxicity")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
