@@ -35,11 +35,28 @@ def stable_rank(c: Column, seed: int = 42) -> Column:
 
 
 def id_is_well_formed(c: Column) -> Column:
-    return c.rlike(r"^[0-9]+\.[0-9]+$")
+    return c.rlike(r"\A[0-9]+\.[0-9]+\z")
 
 
+def metadata(c: Column, key: str, default: str = "") -> Column:
+    """A value of a map, or the default where there is none."""
+    return F.coalesce(F.try_element_at(c, F.lit(key)), F.lit(default))
 
 
+def first_upper(c: Column) -> Column:
+    """With its first letter in upper case and the rest as it is."""
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.length(c)))
+
+
+def rounded(c: Column, digits: int = 4) -> Column:
+    """Half to even on the value's decimal form, as reports show it."""
+    return F.bround(c, digits)
+
+
+def on_scale(c: Column, low: float, high: float, begin: float, end: float) -> Column:
+    """A value's place on an axis from ``begin`` to ``end``, that shows ``low`` to ``high``."""
+    return F.lit(begin) + (c - low) * ((end - begin) / (high - low))
+
 def mutation_key(symbol: Column, separator: str = "_") -> Column:
     """``mutation::<part before the first separator>::<rest or 'unknown'>``."""
     head = F.substring_index(symbol, separator, 1)

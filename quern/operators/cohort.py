@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import blank_to, stable_rank, strip
+from .contracts import ContractError
+from .similarity import checkpointed
 
 LABELS = ("Resistant", "Susceptible")
 
@@ -25,9 +27,10 @@ def of_species(source: DataFrame, species: str, taxon: str, evidence: str, name=
     return source.where(F.col(name).startswith(species + " ") & (F.col(taxon_id) == taxon) & (F.lower(strip(F.col(kind))) == evidence.lower()))
 
 
-def excluded_counts(rows: DataFrame, drug: str, label: str, drugs: list[str]) -> DataFrame:
-    """Both counters are of the same rows, so they overlap."""
-    return rows.agg(F.count_if(~F.col(drug).isin(drugs)).alias("unsupported_drug"), F.count_if(~F.col(label).isin(*LABELS)).alias("non_binary_or_missing_label"))
+def excluded_counts(rows: DataFrame, drug: str, label: str, drugs: list[str] | None) -> DataFrame:
+    """Both counters are of the same rows, so they overlap; without ``drugs`` each one is supported."""
+    other = F.count_if(~F.col(drug).isin(drugs)) if drugs is not None else F.lit(0).cast("long")
+    return rows.agg(other.alias("unsupported_drug"), F.count_if(~F.col(label).isin(*LABELS)).alias("non_binary_or_missing_label"))
 
 
 def conflict_keys(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -40,7 +43,7 @@ def clean(rows: DataFrame, keys: list[str], label: str, drugs: list[str] | None
     if drugs is not None:
         kept = kept.where(F.col(keys[-1]).isin(drugs))
     conflicts = conflict_keys(kept, keys, label)
-    return Cleaned(kept.distinct().join(conflicts, keys, "left_anti"), conflicts, excluded_counts(rows, keys[-1], label, drugs or []))
+    return Cleaned(kept.distinct().join(conflicts, keys, "left_anti"), conflicts, excluded_counts(rows, keys[-1], label, drugs))
 
 
 def audit(rows: DataFrame, genome: str, drug: str, label: str, flags: dict[str, str]) -> DataFrame:
@@ -75,11 +78,14 @@ def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def select_genomes(labels: DataFrame, genome: str, drug: str, label: str, floor: int, cap: int, seed: int = 42) -> DataFrame:
     """A protected floor for each drug and label, filled up by coverage, then hash, to a cap.
 
-    Ranking past the floors takes the first ``cap`` rows only, so it needs no global sort
+    A cap that can't hold all protected genomes raises ContractError. Ranking past the floors takes the first ``cap`` rows only, so it needs no global sort
     in one task: the limit is pushed into each partition.
     """
     pairs = labels.select(genome, drug, label).distinct().withColumn("hash", stable_rank(F.col(genome), seed))
     floors = top_k_per_group(pairs, [drug, label], floor, ["hash", genome]).select(genome).distinct().withColumn("kept", F.lit(1))
+    floors = checkpointed(floors)
+    if (needed := floors.count()) > cap:
+        raise ContractError(f"the floors protect {needed} genomes, the cap is {cap}")
     cover = labels.groupBy(genome).agg(F.count_distinct(drug).alias("coverage")).withColumn("hash", stable_rank(F.col(genome), seed))
     ranked = cover.join(floors, genome, "left").orderBy(F.desc(F.coalesce("kept", F.lit(0))), F.desc("coverage"), "hash", genome).limit(cap)
     return ranked.select(genome, F.col("coverage").alias("label_count"), F.col("hash").alias("selection_rank"))

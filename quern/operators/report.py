@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from .contracts import ContractError
 
-WARNING = "Research decision support only; every call requires laboratory confirmation."
+#: What each report says of itself.
+WARNING = "For research on existing data; a laboratory must confirm each call before anybody acts on it."
+#: Least identity and coverage of a target's alignment, and its greatest e-value (fixed values); the last two for RNA, identity in percent.
+MIN_IDENTITY, MIN_COVERAGE, MAX_EVALUE = 0.80, 0.60, 1e-10
+MIN_RNA_IDENTITY, MIN_RNA_COVERAGE = 70.0, 0.80
+#: A drug registry's table that is broadcast has so many rows at most.
+REGISTRY_ROWS = 10_000
 
 
 def feature_vector(detected: Column, names: list[str]) -> tuple[Column, Column]:
@@ -32,16 +38,36 @@ def best_hits(hits: DataFrame, query: str, evalue: str, bitscore: str, where: Co
     return best.select(query, "h.*")
 
 
-def target_status(registry: DataFrame, hits: DataFrame, symbol: str = "symbol") -> DataFrame:
-    """(genome_id, drug, status, detected, required_count): targets found for each drug.
+def alignment(identities: Column, begin: Column, end: Column, reference_length: Column) -> tuple[Column, Column]:
+    """Identity and reference coverage of an alignment, 0 where there is nothing to divide by.
 
-    ``registry`` is small and broadcast by the file it is read from; a genome that has no hit
-    at all is not evaluated and has no row.
+    ``identities`` has a letter where both sequences agree, and places count from 1, ends included.
     """
-    wanted = F.broadcast(registry.select("drug", "minimum_targets_detected", F.explode("target_symbols").alias("_symbol")))
-    genomes = hits.select("genome_id").distinct()
+    n = F.char_length(F.coalesce(identities, F.lit("")))
+    alike = F.char_length(F.regexp_replace(F.coalesce(identities, F.lit("")), r"[^\p{L}]", ""))
+    return F.when(n > 0, alike / n).otherwise(F.lit(0.0)), F.when(reference_length > 0, (end - begin + 1) / reference_length).otherwise(F.lit(0.0))
+
+
+def target_found(identity: Column, coverage: Column, evalue: Column) -> Column:
+    """Whether a protein hit shows its target."""
+    return (identity >= MIN_IDENTITY) & (coverage >= MIN_COVERAGE) & (evalue <= MAX_EVALUE)
+
+
+def rna_target_found(identity_percent: Column, length: Column, query_length: Column) -> Column:
+    return (identity_percent >= MIN_RNA_IDENTITY) & (length / query_length >= MIN_RNA_COVERAGE)
+
+
+def target_status(registry: DataFrame, hits: DataFrame, genomes: DataFrame, symbol: str = "symbol") -> DataFrame:
+    """(genome_id, drug, status, detected, required_count): targets found for each of ``genomes`` and each drug.
+
+    A genome without a hit has no target verified. ``registry`` has a row a drug and is
+    broadcast as far as it has REGISTRY_ROWS rows.
+    """
+    small = F.broadcast if registry.count() <= REGISTRY_ROWS else (lambda x: x)
+    wanted = small(registry.select("drug", "minimum_targets_detected", F.explode("target_symbols").alias("_symbol")))
+    genomes = genomes.select("genome_id").distinct()
     found = hits.join(wanted, hits[symbol] == wanted._symbol).groupBy("genome_id", "drug").agg(F.array_sort(F.collect_set("_symbol")).alias("detected"))
-    every = genomes.join(F.broadcast(registry.select("drug", "minimum_targets_detected")), F.lit(True))
+    every = genomes.join(small(registry.select("drug", "minimum_targets_detected")), F.lit(True))  # a row for each genome and drug is the result
     out = every.join(found, ["genome_id", "drug"], "left").withColumn("detected", F.coalesce("detected", F.array().cast("array<string>")))
     status = F.when(F.size("detected") >= F.col("minimum_targets_detected"), "present").otherwise("not_verified")
     return out.select("genome_id", "drug", status.alias("status"), "detected", F.col("minimum_targets_detected").alias("required_count"))
@@ -91,8 +117,6 @@ def analysis_id(digest: Column) -> Column:
 def score(decisions: DataFrame, truth: DataFrame) -> DataFrame:
     """Calls against labels of the same genome and drug, each of them once."""
     from .contracts import join_one_to_one
-    from .metrics import called_metrics
+    from .metrics import report_metrics
 
-    both = join_one_to_one(decisions.select("genome_id", "drug", "call"), truth.select("genome_id", "drug", "y"), ["genome_id", "drug"])
-    signal = C.value_map(F.col("call"), {"likely_to_fail": "resistant_signal", "likely_to_work": "susceptible_signal", "no_call": "no_call"})
-    return called_metrics(both.withColumn("model_signal", signal), ["drug"])
+    return report_metrics(join_one_to_one(decisions.select("genome_id", "drug", "call"), truth.select("genome_id", "drug", "y"), ["genome_id", "drug"]), ["drug"])

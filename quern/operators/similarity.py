@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import ani, binary_jaccard
+from ..functions.columns import ani
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -24,17 +24,73 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows`` with their place, from 0, in an order: sorted by range and numbered range by range.
+
+    The driver sees one count a partition, and no window runs over all rows.
+    """
+    parts = checkpointed(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    before, start = 0, []
+    for r in sorted(parts.groupBy("_part").count().collect()):
+        start.append((r["_part"], before))
+        before += r["count"]
+    starts = rows.sparkSession.createDataFrame(start, "_part int, _start long")
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + inside - 1).drop("_part", "_start")
+
+
+def least_jaccard(least: float, k: int) -> float:
+    """The Jaccard similarity at which the estimate reaches ``least``."""
+    x = least**k
+    return x / (2 - x)
+
+
+def gram_sets(grams: DataFrame, key: str, gram: str) -> DataFrame:
+    """(key, n, set): the 64-bit hashes of each key's grams, in order."""
+    return grams.groupBy(key).agg(F.sort_array(F.collect_set(F.xxhash64(gram))).alias("set")).withColumn("n", F.size("set"))
+
+
+def similar_sets(sets: DataFrame, key: str, k: int, least: float) -> DataFrame:
+    """Pairs (left_id, right_id, estimated_ani) of sets whose estimate is ``least`` or more.
+
+    Two such sets miss few of each other's grams, so with grams ordered by how many sets
+    hold them, rarest first, they share one in the first ``n - ceil(t * n) + 1`` of each, t
+    being the Jaccard similarity that ``least`` means. Only these prefixes are indexed;
+    sizes thin the pairs, and whole sets verify them.
+    """
+    t = least_jaccard(least, k) - 1e-9
+    sets = sets.select(F.col(key).alias("_key"), F.col("n").alias("_n"), F.col("set").alias("_set"))
+    grams = sets.select("_key", "_n", F.explode("_set").alias("_g"))
+    count = grams.groupBy("_g").agg(F.count("*").alias("_c")).where("_c > 1")
+    shared = grams.join(count, "_g").groupBy("_key").agg(F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("_c", "_g"))).alias("_s"))
+    # grams of one set only stand first in the order and meet nothing
+    many = F.col("_n") - F.ceil(F.lit(t) * F.col("_n")) + 1 - (F.col("_n") - F.size("_s"))
+    index = shared.where(many > 0).select("_key", "_n", F.explode(F.slice("_s", F.lit(1), many.cast("int"))["_g"]).alias("_g"))
+    side = lambda df, name, size: df.withColumnsRenamed({"_key": name, "_n": size})
+    near = side(index, "left_id", "_a").join(side(index, "right_id", "_b"), "_g")
+    near = near.where((F.col("left_id") < F.col("right_id")) & (F.least("_a", "_b") >= F.lit(t) * F.greatest("_a", "_b"))).select("left_id", "right_id").distinct()
+    x, y = side(sets, "left_id", "_a").withColumnRenamed("_set", "_x"), side(sets, "right_id", "_b").withColumnRenamed("_set", "_y")
+    both = F.size(F.array_intersect("_x", "_y"))
+    j = near.join(x, "left_id").join(y, "right_id").select("left_id", "right_id", (both / (F.col("_a") + F.col("_b") - both)).alias("_j"))
+    return j.select("left_id", "right_id", ani(F.col("_j"), k).alias("estimated_ani")).where(F.col("estimated_ani") >= least)
+
+
 def self_join(grams: DataFrame, key: str, gram: str, k: int, least: float) -> DataFrame:
-    """Pairs (left, right, estimated_ani) of keys that share grams, through an inverted index.
+    """Pairs (left_id, right_id, estimated_ani) of keys whose grams are similar, for least > 0."""
+    return similar_sets(checkpointed(gram_sets(grams, key, gram)), key, k, least)
 
-    Pairs without a shared gram have an estimate of 0, so the equi-join loses none for least > 0.
+
+def clusters(nodes: DataFrame, grams: DataFrame, key: str, gram: str, k: int, least: float) -> DataFrame:
+    """(key, root): single-linkage clusters, by the smallest key of each.
+
+    Keys of equal sets are one node, so thousands of copies give no pairs among themselves.
     """
-    size = grams.groupBy(key).agg(F.count("*").alias("n"))
-    a, b = grams.select(F.col(key).alias("l"), gram), grams.select(F.col(key).alias("r"), gram)
-    shared = a.join(b, gram).where("l < r").groupBy("l", "r").agg(F.count("*").alias("i"))
-    sized = shared.join(size.select(F.col(key).alias("l"), F.col("n").alias("na")), "l").join(size.select(F.col(key).alias("r"), F.col("n").alias("nb")), "r")
-    j = F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))
-    return sized.select(F.col("l").alias("left_id"), F.col("r").alias("right_id"), ani(j, k).alias("estimated_ani")).where(F.col("estimated_ani") >= least)
+    sets = checkpointed(gram_sets(grams, key, gram).withColumn("_name", F.sha2(F.array_join(F.transform("set", lambda x: x.cast("string")), ","), 256)))
+    own = sets.groupBy("_name").agg(F.min(key).alias(key))
+    firsts = checkpointed(sets.join(own.select(key), key, "left_semi").select(key, "set", "n"))
+    roots = components(firsts.select(key), similar_sets(firsts, key, k, least), key)
+    of = sets.select(F.col(key).alias("_k"), "_name").join(own.join(roots, key).select("_name", "root"), "_name").select("_k", "root")
+    return nodes.select(key).join(of, F.col(key) == F.col("_k"), "left").select(key, F.coalesce("root", key).alias("root"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str, rounds: int = 50) -> DataFrame:
@@ -57,12 +113,9 @@ def components(nodes: DataFrame, edges: DataFrame, node: str, rounds: int = 50)
 
 
 def cluster_labels(membership: DataFrame, node: str) -> DataFrame:
-    """Roots in order as cluster_00001, ..., with each cluster's size.
-
-    Only the roots are ranked together, one row a cluster.
-    """
-    roots = membership.groupBy("root").agg(F.count("*").alias("cluster_size"))
-    named = roots.withColumn("cluster_id", F.format_string("cluster_%05d", F.row_number().over(Window.orderBy("root"))))
+    """Roots in order as cluster_00001, ..., with each cluster's size."""
+    roots = numbered(membership.groupBy("root").agg(F.count("*").alias("cluster_size")), [F.col("root")], "_place")
+    named = roots.select("root", "cluster_size", F.format_string("cluster_%05d", F.col("_place") + 1).alias("cluster_id"))
     return membership.join(named, "root").select(node, "cluster_id", "cluster_size")
 
 
@@ -75,19 +128,50 @@ def nearest(pairs: DataFrame, queries: DataFrame, query: str) -> DataFrame:
     return queries.join(best, queries[query] == best.query_id, "left").select(query, F.coalesce("m.similarity", F.lit(0.0)).alias("maximum"), (-F.col("m.o")).alias("nearest"))
 
 
-def maximum_jaccard(queries: DataFrame, reference: DataFrame, key: str, profile: str) -> DataFrame:
-    """The greatest Jaccard similarity of each profile to a reference of bounded size; 0 if that is empty."""
-    ref = F.broadcast(reference.select(F.col(profile).alias("_ref")).distinct().agg(F.collect_list("_ref").alias("_refs")))
-    most = F.array_max(F.transform("_refs", lambda r: binary_jaccard(F.col(profile), r)))
-    return queries.join(ref, F.lit(True)).select(key, F.coalesce(most, F.lit(0.0)).alias("similarity"))
+#: Bits of a word of a profile's bitmap, and profiles that a block holds.
+_WORD, BLOCK = 62, 4096
+
+
+def _bitmaps(profiles: DataFrame, profile: str, width: int) -> DataFrame:
+    """Adds the words of a profile's bitmap (features from 1 to ``width``) and its size."""
+    bits = lambda w: F.aggregate(F.filter(profile, lambda x: F.floor((x - 1) / _WORD) == w), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), ((x - 1) % _WORD).cast("int"))))
+    return profiles.withColumns({f"_w{w}": bits(w) for w in range(-(-width // _WORD))}).withColumn("_size", F.size(profile))
+
+
+def _greatest(left: DataFrame, right: DataFrame, name: str, width: int, apart: bool) -> DataFrame:
+    """(name, similarity): for each row of ``left`` the greatest Jaccard similarity to a row of ``right``.
+
+    Both sides are dealt into blocks; each pair of blocks meets under one key, so a task
+    holds two blocks, and their maxima are taken before anything moves on. With ``apart``
+    rows of one name don't meet. Every pair is compared, by the bits they share.
+    """
+    words = range(-(-width // _WORD))
+    many = max(1, -(-left.count() // BLOCK)), max(1, -(-right.count() // BLOCK))
+    of = lambda df, mine, n, m, other: df.withColumn(mine, F.pmod(F.xxhash64(name), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    a = of(left, "_i", many[0], many[1], "_j")
+    b = of(right, "_j", many[1], many[0], "_i").select("_i", "_j", F.col(name).alias("_name"), *[F.col(f"_w{w}").alias(f"_v{w}") for w in words], F.col("_size").alias("_other"))
+    met = a.join(b, ["_i", "_j"])
+    if apart:
+        met = met.where(F.col(name) != F.col("_name"))
+    shared = sum((F.bit_count(F.col(f"_w{w}").bitwiseAND(F.col(f"_v{w}"))) for w in words), F.lit(0))
+    union = F.col("_size") + F.col("_other") - shared
+    return met.groupBy(name).agg(F.max(F.when(union == 0, F.lit(1.0)).otherwise(shared / union)).alias("similarity"))
+
+
+def maximum_jaccard(queries: DataFrame, reference: DataFrame, key: str, profile: str, width: int) -> DataFrame:
+    """The greatest Jaccard similarity of each profile to one of the reference; 0 if that is empty.
+
+    Equal profiles are compared once.
+    """
+    asked, there = (checkpointed(_bitmaps(x.select(profile).distinct(), profile, width)) for x in (queries, reference))
+    most = _greatest(asked, there, profile, width, False)
+    return queries.join(most, profile, "left").select(key, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
-def leave_one_out(profiles: DataFrame, profile: str) -> DataFrame:
+def leave_one_out(profiles: DataFrame, profile: str, width: int) -> DataFrame:
     """For each different profile its greatest similarity to another one; 1 if it is the only one."""
-    one = profiles.select(profile).distinct()
-    every = F.broadcast(one.agg(F.collect_list(profile).alias("_all")))
-    most = F.array_max(F.transform(F.filter("_all", lambda x: x != F.col(profile)), lambda x: binary_jaccard(F.col(profile), x)))
-    return one.join(every, F.lit(True)).select(profile, F.coalesce(most, F.lit(1.0)).alias("similarity"))
+    one = checkpointed(_bitmaps(profiles.select(profile).distinct(), profile, width))
+    return one.select(profile).join(_greatest(one, one, profile, width, True), profile, "left").select(profile, F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
 
 
 def novelty_floor(similarities: DataFrame, column: str, quantile: float) -> DataFrame:

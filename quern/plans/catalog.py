@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import cohort, metrics, models, sequences, similarity, splits
+from ..operators import cohort, lineage, metrics, models, report, sequences, similarity, splits, training
+from ..operators.contracts import join_many_to_one
 from ..sources import tables
 from ..sources.tables import table
 from ..streaming import windows
@@ -117,7 +118,7 @@ def strong_evidence(spark, d):
 
 _CONTIGS = """ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents), c AS (SELECT doc_id, CAST(length(s) AS BIGINT) AS n, CAST(length(regexp_replace(s, '[a-zA-Z]', '', 'g')) AS BIGINT) AS odd FROM ln WHERE s <> ''),
 r AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY n DESC ROWS UNBOUNDED PRECEDING) AS up, sum(n) OVER (PARTITION BY doc_id) AS whole FROM c),
-m AS (SELECT doc_id, CAST(max(whole) AS BIGINT) AS genome_length, count(*) AS contigs, max(CASE WHEN 2 * up >= whole THEN n END) AS contig_n50, CAST(sum(odd) AS BIGINT) AS ambiguous_bases FROM r GROUP BY doc_id)"""
+m AS (SELECT doc_id, CAST(max(whole) AS BIGINT) AS genome_length, count(*) AS contigs, max(CASE WHEN 2 * up >= whole THEN n END) AS contig_n50, CAST(sum(odd) AS BIGINT) AS ambiguous_bases, CAST(sum(odd) AS BIGINT) / max(whole)::DOUBLE AS ambiguous_fraction FROM r GROUP BY doc_id)"""
 
 
 def _contig_metrics(spark, d):
@@ -130,15 +131,26 @@ def fasta_metrics(spark, d):
     return _contig_metrics(spark, d)
 
 
-_BOUNDS = {"minimum_length": 200, "maximum_length": 20000, "maximum_contigs": 50, "minimum_n50": 100, "maximum_ambiguous_fraction": 0.6}
+_BOUNDS = {
+    "minimum_length": 200, "maximum_length": 20000, "maximum_contigs": 50, "minimum_n50": 100, "maximum_ambiguous_fraction": 0.6,
+    "compare": True, "minimum_completeness": 10.0, "maximum_contamination": 5.0, "allowed_quality": ["en", "fr", "de"],
+}
 _REASONS = """q AS (SELECT doc_id, concat_ws(';', CASE WHEN genome_length < 200 THEN 'genome_too_short' END, CASE WHEN genome_length > 20000 THEN 'genome_too_long' END, CASE WHEN contigs > 50 THEN 'too_many_contigs' END,
- CASE WHEN contig_n50 < 100 THEN 'n50_too_low' END, CASE WHEN ambiguous_bases / genome_length::DOUBLE > 0.6 THEN 'too_many_ambiguous_bases' END) AS rejection_reasons FROM m)"""
+ CASE WHEN contig_n50 < 100 THEN 'n50_too_low' END, CASE WHEN ambiguous_bases / genome_length::DOUBLE > 0.6 THEN 'too_many_ambiguous_bases' END, CASE WHEN n_chars <> 0 AND n_chars <> genome_length THEN 'download_length_mismatch' END,
+ CASE WHEN doc_id % 3 <> 0 AND doc_id % 3 <> contigs THEN 'download_contig_count_mismatch' END, CASE WHEN doc_id % 5 <> 0 AND doc_id % 101 < 10 THEN 'checkm_completeness_too_low' END, CASE WHEN doc_id % 7 > 5 THEN 'checkm_contamination_too_high' END,
+ CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN 'unsupported_genome_quality' END) AS rejection_reasons FROM m JOIN documents USING (doc_id))"""
+
+
+def _stated(spark, d):
+    """What a source states of its genomes: lengths are the documents' characters, the rest comes from identifiers."""
+    k = F.col("doc_id")
+    return table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("expected_length"), (k % 3).alias("expected_contigs"), F.when(k % 5 != 0, k % 101).alias("completeness"), (k % 7).alias("contamination"), F.col("lang").alias("quality"))
 
 
 @query(f"WITH {_CONTIGS}, {_REASONS} SELECT doc_id, rejection_reasons, rejection_reasons = '' AS passed_qc FROM q")
 def quality_reasons(spark, d):
     why = C.reasons(sequences.quality_rules(_BOUNDS))
-    return _contig_metrics(spark, d).select("doc_id", F.array_join(why, ";").alias("rejection_reasons"), (F.size(why) == 0).alias("passed_qc"))
+    return _contig_metrics(spark, d).join(_stated(spark, d), "doc_id").select("doc_id", F.array_join(why, ";").alias("rejection_reasons"), (F.size(why) == 0).alias("passed_qc"))
 
 
 @query(f"WITH {_CONTIGS}, {_REASONS} SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM q WHERE rejection_reasons = '')")
@@ -211,37 +223,41 @@ def coalesce_source(spark, d):
 
 @query(f"WITH {R.DET} SELECT o_custkey, o_orderpriority, c_mktsegment, n_name, CAST(c_acctbal < 0 AS INT) AS target FROM det JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def modeling_table(spark, d):
+    """Both joins check that their right side has each key once."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_nationkey", (F.col("c_acctbal") < 0).cast("int").alias("target"))
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return R.detected(spark, d).join(c, "o_custkey").join(n, "c_nationkey").select("o_custkey", "o_orderpriority", "c_mktsegment", "n_name", "target")
+    return join_many_to_one(join_many_to_one(R.detected(spark, d), c, ["o_custkey"]), n, ["c_nationkey"]).select("o_custkey", "o_orderpriority", "c_mktsegment", "n_name", "target")
 
 
 @query("""SELECT *, least(negative, positive) AS minimum_class_count FROM (SELECT c_mktsegment, r_name, count(DISTINCT CASE WHEN c_acctbal < 0 THEN c_custkey END) AS negative, count(DISTINCT CASE WHEN c_acctbal >= 0 THEN c_custkey END) AS positive, count(DISTINCT n_nationkey) AS clusters
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)""")
 def split_support(spark, d):
-    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = join_many_to_one(table(spark, d, "nation").withColumnRenamed("n_regionkey", "r_regionkey"), table(spark, d, "region"), ["r_regionkey"])
+    rows = join_many_to_one(table(spark, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey"), n, ["n_nationkey"])
     rows = rows.withColumn("sign", F.when(F.col("c_acctbal") < 0, "negative").otherwise("positive"))
     return splits.support(rows, ["c_mktsegment", "r_name"], "c_custkey", "n_nationkey", "sign", ["negative", "positive"])
 
 
-_RATES = """count(*) AS total, count(*) FILTER (model_signal <> 'no_call') AS called, round(avg(CAST(model_signal <> 'no_call' AS INT)), 6) AS coverage, round(1 - avg(CAST(model_signal <> 'no_call' AS INT)), 6) AS no_call_rate,
- round(avg(CASE WHEN model_signal <> 'no_call' THEN CAST((model_signal = 'resistant_signal') = (y = 1) AS INT) END), 6) AS called_accuracy,
- round(avg(CASE WHEN model_signal <> 'no_call' AND y = 1 THEN CAST(model_signal = 'resistant_signal' AS INT) END), 6) AS resistant_recall,
- round(avg(CASE WHEN model_signal <> 'no_call' AND y = 0 THEN CAST(model_signal <> 'resistant_signal' AS INT) END), 6) AS susceptible_recall"""
+_CALLED = """count(*) FILTER (model_signal <> 'no_call') AS called_count, round(avg(CAST(model_signal <> 'no_call' AS INT)), 6) AS coverage,
+ round(avg(CASE WHEN model_signal <> 'no_call' THEN CAST((model_signal = 'resistant_signal') = (y = 1) AS INT) END), 6) AS accuracy, count(*) FILTER (model_signal = 'susceptible_signal') AS susceptible_calls, count(*) FILTER (model_signal = 'resistant_signal') AS resistant_calls,
+ round(avg(y) FILTER (model_signal = 'susceptible_signal'), 6) AS resistant_fraction_in_susceptible_calls, round(avg(1 - y) FILTER (model_signal = 'resistant_signal'), 6) AS susceptible_fraction_in_resistant_calls"""
+_REPORTED = """count(*) AS total, count(*) FILTER (call <> 'no_call') AS called, round(avg(CAST(call <> 'no_call' AS INT)), 6) AS coverage, round(avg(CAST(call = 'no_call' AS INT)), 6) AS no_call_rate,
+ round(avg(CAST(call = CASE y WHEN 1 THEN 'likely_to_fail' ELSE 'likely_to_work' END AS INT)) FILTER (call <> 'no_call'), 6) AS called_accuracy, round(avg(CAST(call = 'likely_to_fail' AS INT)) FILTER (y = 1), 6) AS resistant_recall_including_no_calls,
+ round(avg(CAST(call = 'likely_to_work' AS INT)) FILTER (y = 0), 6) AS susceptible_recall_including_no_calls"""
 
 
 def _rounded(df, *keys):
     return df.select(*[F.round(c, 6).alias(c) if t == "double" and c not in keys else F.col(c) for c, t in df.dtypes])
 
 
-@query(f"WITH {_DECIDE}, rs AS (SELECT drug, y, CASE call WHEN 'likely_to_fail' THEN 'resistant_signal' WHEN 'likely_to_work' THEN 'susceptible_signal' ELSE 'no_call' END AS model_signal FROM de) SELECT drug, {_RATES} FROM rs GROUP BY drug")
+@query(f"WITH {_DECIDE} SELECT drug, {_REPORTED} FROM de GROUP BY drug")
 def report_scoring(spark, d):
-    calls = _decisions(spark, d).select("event_id", "drug", C.value_map(F.col("call"), {"likely_to_fail": "resistant_signal", "likely_to_work": "susceptible_signal", "no_call": "no_call"}).alias("model_signal"))
-    truth = R.scored(spark, d).select("event_id", "drug", "y")
-    return _rounded(metrics.called_metrics(calls.join(truth, ["event_id", "drug"]), ["drug"]))
+    calls = _decisions(spark, d).select(F.col("event_id").alias("genome_id"), "drug", "call")
+    truth = R.scored(spark, d).select(F.col("event_id").alias("genome_id"), "drug", "y")
+    return _rounded(report.score(calls, truth))
 
 
-@query(f"WITH {R.SCORED}, sg AS (SELECT *, {R.SIGNAL} AS model_signal FROM sc) SELECT drug, {_RATES} FROM sg GROUP BY drug")
+@query(f"WITH {R.SCORED}, sg AS (SELECT *, {R.SIGNAL} AS model_signal FROM sc) SELECT drug, {_CALLED} FROM sg GROUP BY drug")
 def called_metrics(spark, d):
     return _rounded(metrics.called_metrics(R.scored(spark, d).withColumn("model_signal", C.model_signal(F.col("p"), R.LOWER, R.UPPER)), ["drug"]))
 
@@ -296,8 +312,7 @@ cc AS (SELECT v AS doc_id, min(root) AS root FROM walk GROUP BY v)"""
 
 
 def _components(spark, d):
-    edges = similarity.self_join(R.grams(spark, d), "doc_id", "g", 5, 0.95)
-    return similarity.components(table(spark, d, "documents").select("doc_id"), edges, "doc_id")
+    return similarity.clusters(table(spark, d, "documents").select("doc_id"), R.grams(spark, d), "doc_id", "g", 5, 0.95)
 
 
 @query(f"{_PARTS} SELECT * FROM cc")
@@ -318,41 +333,44 @@ def cluster_size(spark, d):
 @query(f"""{_PARTS}, g AS (SELECT root, count(*) AS n FROM cc GROUP BY root), o AS (SELECT root, n, row_number() OVER (ORDER BY n DESC, sha256('42:' || root::VARCHAR)) AS i, sum(n) OVER () AS total FROM g),
 fold AS (SELECT 0::BIGINT AS i, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, NULL::BIGINT AS root, '' AS split UNION ALL
  SELECT o.i, fold.a + CASE WHEN s = 0 THEN o.n ELSE 0 END, fold.b + CASE WHEN s = 1 THEN o.n ELSE 0 END, fold.c + CASE WHEN s = 2 THEN o.n ELSE 0 END, o.root, CASE s WHEN 0 THEN 'train' WHEN 1 THEN 'calibration' ELSE 'test' END
- FROM (SELECT fold.*, o.i AS oi, CASE WHEN 0.70::DOUBLE * total - fold.a >= 0.15::DOUBLE * total - fold.b AND 0.70::DOUBLE * total - fold.a >= 0.15::DOUBLE * total - fold.c THEN 0 WHEN 0.15::DOUBLE * total - fold.b >= 0.15::DOUBLE * total - fold.c THEN 1 ELSE 2 END AS s FROM fold JOIN o ON o.i = fold.i + 1) fold JOIN o ON o.i = fold.oi)
+ FROM (SELECT *, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS s FROM (SELECT fold.*, o.i AS oi, abs(fold.a + o.n - 0.70::DOUBLE * total) - abs(fold.a - 0.70::DOUBLE * total) AS d0,
+  abs(fold.b + o.n - 0.15::DOUBLE * total) - abs(fold.b - 0.15::DOUBLE * total) AS d1, abs(fold.c + o.n - 0.15::DOUBLE * total) - abs(fold.c - 0.15::DOUBLE * total) AS d2 FROM fold JOIN o ON o.i = fold.i + 1)) fold JOIN o ON o.i = fold.oi)
 SELECT root, split FROM fold WHERE i > 0""")
 def grouped_split(spark, d):
     sizes = _components(spark, d).groupBy("root").agg(F.count("*").alias("n"))
     return splits.assign(sizes, "root", "n")
 
 
-@query(f"""WITH {R.EDGE} SELECT doc_id, round(coalesce(max(ani), 0), 6) AS maximum, min(r) FILTER (ani = m) AS nearest FROM (SELECT q.doc_id, s.r, s.ani, max(s.ani) OVER (PARTITION BY q.doc_id) AS m FROM (SELECT doc_id FROM documents WHERE doc_id % 10 = 0) q
-LEFT JOIN sim s ON s.l = q.doc_id AND s.r % 10 <> 0) GROUP BY doc_id""")
+@query(f"""WITH {R.EDGE} SELECT doc_id, round(coalesce(max(ani), 0), 6) AS maximum, min(r) FILTER (ani = m) AS nearest FROM (SELECT q.doc_id, s.r, s.ani, max(s.ani) OVER (PARTITION BY q.doc_id) AS m FROM (SELECT doc_id FROM documents WHERE doc_id % 20 = 0) q
+LEFT JOIN sim s ON s.l = q.doc_id) GROUP BY doc_id""")
 def nearest_reference(spark, d):
+    """The stated query set (identifiers divisible by 20) against all other rows."""
     g = R.grams(spark, d)
     n = g.groupBy("doc_id").agg(F.count("*").alias("n"))
-    mine, other = g.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "g"), g.where("doc_id % 10 <> 0").select(F.col("doc_id").alias("reference_id"), "g")
-    pairs = mine.join(other, "g").groupBy("query_id", "reference_id").agg(F.count("*").alias("i"))
+    mine, other = g.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "g"), g.select(F.col("doc_id").alias("reference_id"), "g")
+    pairs = mine.join(other, "g").where("query_id <> reference_id").groupBy("query_id", "reference_id").agg(F.count("*").alias("i"))
     pairs = pairs.join(n.select(F.col("doc_id").alias("query_id"), F.col("n").alias("na")), "query_id").join(n.select(F.col("doc_id").alias("reference_id"), F.col("n").alias("nb")), "reference_id")
     pairs = pairs.withColumn("similarity", C.ani(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), 5))
-    asked = table(spark, d, "documents").where("doc_id % 10 = 0").select("doc_id")
+    asked = table(spark, d, "documents").where("doc_id % 20 = 0").select("doc_id")
     return similarity.nearest(pairs, asked, "doc_id").withColumn("maximum", F.round("maximum", 6))
 
 
-_JAC = "CASE WHEN len(list_distinct(list_concat(a.profile, b.profile))) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a.profile, b.profile)) / len(list_distinct(list_concat(a.profile, b.profile)))::DOUBLE END"
+_JAC = "coalesce((bit_count(a.u & b.u) + bit_count(a.v & b.v)) / nullif(bit_count(a.u | b.u) + bit_count(a.v | b.v), 0)::DOUBLE, 1.0::DOUBLE)"
 
 
-@query(f"WITH {R.PROF} SELECT a.vec_id, round(max({_JAC}), 6) AS similarity FROM prof a, (SELECT DISTINCT profile FROM prof WHERE vec_id < 100) b GROUP BY a.vec_id")
+@query(f"WITH {R.PROF} SELECT a.vec_id, round(max({_JAC}), 6) AS similarity FROM prof a, (SELECT DISTINCT u, v FROM prof WHERE vec_id % 20 <> 0) b WHERE a.vec_id % 20 = 0 GROUP BY a.vec_id")
 def max_jaccard(spark, d):
+    """The stated query set (identifiers divisible by 20) against all other rows."""
     p = R.profiles(spark, d)
-    return similarity.maximum_jaccard(p, p.where("vec_id < 100"), "vec_id", "profile").withColumn("similarity", F.round("similarity", 6))
+    return similarity.maximum_jaccard(p.where("vec_id % 20 = 0"), p.where("vec_id % 20 <> 0"), "vec_id", "profile", R.WIDTH).withColumn("similarity", F.round("similarity", 6))
 
 
-_LOO = f"{R.PROF}, un AS (SELECT DISTINCT profile FROM prof), loo AS (SELECT a.profile, coalesce(max({_JAC}), 1.0) AS similarity FROM un a LEFT JOIN un b ON a.profile <> b.profile GROUP BY a.profile)"
+_LOO = f"{R.PROF}, un AS (SELECT DISTINCT profile, u, v FROM prof), loo AS (SELECT a.profile, coalesce(max({_JAC}), 1.0) AS similarity FROM un a LEFT JOIN un b ON a.u <> b.u OR a.v <> b.v GROUP BY a.profile)"
 
 
 @query(f"WITH {_LOO} SELECT array_to_string(profile, ',') AS profile, round(similarity, 6) AS similarity FROM loo")
 def loo_jaccard(spark, d):
-    one = similarity.leave_one_out(R.profiles(spark, d), "profile")
+    one = similarity.leave_one_out(R.profiles(spark, d), "profile", R.WIDTH)
     return one.select(F.array_join(F.transform("profile", lambda x: x.cast("string")), ",").alias("profile"), F.round("similarity", 6).alias("similarity"))
 
 
@@ -364,7 +382,7 @@ def unique_profiles(spark, d):
 
 @query(f"WITH {_LOO} SELECT round(quantile_cont(similarity, 0.05::DOUBLE), 6) AS floor FROM loo")
 def novelty_floor(spark, d):
-    return similarity.novelty_floor(similarity.leave_one_out(R.profiles(spark, d), "profile"), "similarity", 0.05).withColumn("floor", F.round("floor", 6))
+    return similarity.novelty_floor(similarity.leave_one_out(R.profiles(spark, d), "profile", R.WIDTH), "similarity", 0.05).withColumn("floor", F.round("floor", 6))
 
 
 _CAND = f"""{R.SCORED}, ps AS (SELECT drug, p, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg FROM sc GROUP BY 1, 2), ca AS (SELECT *, low_calls >= 5 AND low_errors / low_calls::DOUBLE <= 0.1 AS low_ok, high_calls >= 5 AND high_errors / high_calls::DOUBLE <= 0.1 AS high_ok FROM (
@@ -377,8 +395,8 @@ def threshold_candidates(spark, d):
     return metrics.threshold_candidates(R.scored(spark, d), ["drug"], 0.1, 5)
 
 
-@query(f"""WITH {_CAND.replace("drug, p, CAST", "1 AS drug, p, CAST", 1).replace("GROUP BY 1, 2", "GROUP BY p", 1)}, pa AS (SELECT a.p AS lower, b.p AS upper, a.low_calls, b.high_calls FROM ca a JOIN ca b ON a.p < b.p WHERE a.low_ok AND b.high_ok)
-SELECT lower, upper, low_calls, high_calls FROM pa ORDER BY low_calls + high_calls DESC, least(low_calls, high_calls) DESC, low_calls DESC LIMIT 1""")
+@query(f"""WITH {_CAND.replace("drug, p, CAST", "1 AS drug, p, CAST", 1).replace("GROUP BY 1, 2", "GROUP BY p", 1)}, pa AS (SELECT a.p AS lower, b.p AS upper, a.low_calls, b.high_calls, a.low_errors / a.low_calls::DOUBLE AS low_error, b.high_errors / b.high_calls::DOUBLE AS high_error FROM ca a JOIN ca b ON a.p < b.p WHERE a.low_ok AND b.high_ok)
+SELECT lower, upper, low_calls, high_calls, low_error, high_error FROM pa ORDER BY low_calls + high_calls DESC, least(low_calls, high_calls) DESC, low_calls DESC LIMIT 1""")
 def threshold_pairs(spark, d):
     every = metrics.threshold_candidates(R.scored(spark, d).withColumn("all", F.lit(1)), ["all"], 0.1, 5)
     return metrics.best_thresholds(every)
@@ -396,11 +414,17 @@ def registry_lookup(spark, d):
     return table(spark, d, "events").select("event_id", F.col("event_type").alias("drug")).join(_registry(spark), "drug")
 
 
-@query(f"WITH {_REG}, {R.OBS} SELECT reg.drug, required, count(DISTINCT k // 10) AS detected, CASE WHEN count(DISTINCT k // 10) >= required THEN 'present' ELSE 'not_verified' END AS status FROM reg LEFT JOIN obs ON obs.drug = reg.drug GROUP BY 1, 2")
+@query(f"""WITH sy AS (SELECT * FROM (VALUES ('add_to_cart', 1, [1, 2, 3]), ('click', 2, [3, 4, 5, 6]), ('purchase', 2, [7, 8])) t(drug, required_count, symbols)), ge AS (SELECT c_custkey AS genome_id FROM customer),
+hi AS (SELECT DISTINCT user_id AS genome_id, CAST(json_extract_string(props, '$.k') AS INT) // 10 AS symbol FROM events WHERE value > 250), fo AS (SELECT h.genome_id, s.drug, list_sort(list(h.symbol::VARCHAR)) AS f FROM hi h JOIN sy s ON list_contains(s.symbols, h.symbol) GROUP BY 1, 2)
+SELECT ge.genome_id, sy.drug, CASE WHEN coalesce(len(f), 0) >= required_count THEN 'present' ELSE 'not_verified' END AS status, array_to_string(coalesce(f, []), ',') AS detected, required_count FROM ge CROSS JOIN sy LEFT JOIN fo ON fo.genome_id = ge.genome_id AND fo.drug = sy.drug""")
 def target_status(spark, d):
-    found = R.observations(spark, d).groupBy("drug").agg(F.count_distinct(F.floor(F.col("k") / 10)).alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return _registry(spark).join(found, "drug", "left").select("drug", "required", n.cast("long").alias("detected"), F.when(n >= F.col("required"), "present").otherwise("not_verified").alias("status"))
+    """Customers as genomes, many of which have no hit."""
+    rows = [("add_to_cart", 1, ["1", "2", "3"]), ("click", 2, ["3", "4", "5", "6"]), ("purchase", 2, ["7", "8"])]
+    registry = spark.createDataFrame(rows, "drug string, minimum_targets_detected int, target_symbols array<string>")
+    k = F.get_json_object("props", "$.k").cast("int")
+    hits = table(spark, d, "events").where("value > 250").select(F.col("user_id").alias("genome_id"), F.floor(k / 10).cast("string").alias("symbol"))
+    genomes = table(spark, d, "customer").select(F.col("c_custkey").alias("genome_id"))
+    return report.target_status(registry, hits, genomes).withColumn("detected", F.array_join("detected", ","))
 
 
 # aggregates
@@ -568,13 +592,13 @@ def auroc(spark, d):
     return _rounded(metrics.auroc(R.scored(spark, d), ["drug"]))
 
 
-@query(f"WITH {_PS}, t AS (SELECT *, sum(pos) OVER w AS tp, sum(pos + neg) OVER w AS n FROM ps WINDOW w AS (PARTITION BY drug ORDER BY p DESC ROWS UNBOUNDED PRECEDING)) SELECT drug, round(sum(pos * tp / n::DOUBLE) / sum(pos)::DOUBLE, 6) AS average_precision FROM t GROUP BY drug")
+@query(f"WITH {_PS}, t AS (SELECT *, sum(pos) OVER w AS tp, sum(pos + neg) OVER w AS n FROM ps WINDOW w AS (PARTITION BY drug ORDER BY p DESC ROWS UNBOUNDED PRECEDING)) SELECT drug, CASE WHEN sum(neg) > 0 THEN round(sum(pos * tp / n::DOUBLE) / nullif(sum(pos), 0)::DOUBLE, 6) END AS average_precision FROM t GROUP BY drug")
 def average_precision(spark, d):
     return _rounded(metrics.average_precision(R.scored(spark, d), ["drug"]))
 
 
 @query(f"""WITH {R.SCORED}, n AS (SELECT drug, (count(*) FILTER (y = 1 AND p >= 0.5))::DOUBLE AS tp, count(*) FILTER (y = 0 AND p < 0.5) AS tn, count(*) FILTER (y = 0 AND p >= 0.5) AS fp, count(*) FILTER (y = 1 AND p < 0.5) AS fn, avg(pow(p - y, 2)) AS brier FROM sc GROUP BY drug)
-SELECT drug, round(tp / (tp + fn), 6) AS resistant_recall, round(tn::DOUBLE / (tn + fp), 6) AS susceptible_recall, round((tp / (tp + fn) + tn::DOUBLE / (tn + fp)) / 2, 6) AS balanced_accuracy, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(brier, 6) AS brier FROM n""")
+SELECT drug, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS resistant_recall, round(coalesce(tn::DOUBLE / nullif(tn + fp, 0), 0), 6) AS susceptible_recall, round((tp / nullif(tp + fn, 0) + tn::DOUBLE / nullif(tn + fp, 0)) / 2, 6) AS balanced_accuracy, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(brier, 6) AS brier FROM n""")
 def evaluate(spark, d):
     return _rounded(metrics.evaluate(R.scored(spark, d), ["drug"]))
 
@@ -628,6 +652,37 @@ def platt_fit(spark, d):
     return rows.select("event_id", F.round(C.calibrated(F.col("decision"), a, b), 6).alias("probability"))
 
 
+@query(f"""WITH {R.DET}, c AS (SELECT c_custkey, c_mktsegment AS drug, c_acctbal < 3000 AS y, CASE WHEN c_custkey % 20 < 14 THEN 'train' WHEN c_custkey % 20 < 17 THEN 'calibration' ELSE 'test' END AS split FROM customer WHERE c_custkey IN (SELECT o_custkey FROM det))
+SELECT drug, count(*) FILTER (split = 'train' AND NOT y) AS train_susceptible, count(*) FILTER (split = 'train' AND y) AS train_resistant, count(*) FILTER (split = 'calibration' AND NOT y) AS calibration_susceptible, count(*) FILTER (split = 'calibration' AND y) AS calibration_resistant,
+ count(*) FILTER (split = 'test' AND NOT y) AS test_susceptible, count(*) FILTER (split = 'test' AND y) AS test_resistant FROM c GROUP BY drug""")
+def split_classes(spark, d):
+    return training.class_counts(R.modeling(spark, d))
+
+
+@query()
+def train_models(spark, d):
+    """One model a market segment, its states, thresholds and metrics on test rows."""
+    made = training.train_all(R.modeling(spark, d), [f"f{p[0]}" for p in _PRIORITIES], training.Settings())
+    return made.summary
+
+
+@query()
+def model_predictions(spark, d):
+    made = training.train_all(R.modeling(spark, d), [f"f{p[0]}" for p in _PRIORITIES], training.Settings())
+    return made.predictions.select("genome_id", "drug", "y", F.round("raw_p", 6).alias("raw_p"), F.round("p", 6).alias("p"), "model_signal")
+
+
+@query(f"""WITH {R.EDGE}, be AS (SELECT d.doc_id, coalesce(max(s.ani), 0) AS m, min(s.r) FILTER (s.ani = x.best) AS n FROM documents d LEFT JOIN (SELECT l, max(ani) AS best FROM sim WHERE r % 5 > 1 GROUP BY l) x ON x.l = d.doc_id LEFT JOIN sim s ON s.l = d.doc_id AND s.r % 5 > 1 WHERE d.doc_id % 5 < 2 GROUP BY d.doc_id),
+fl AS (SELECT quantile_cont(m, 0.4::DOUBLE) AS f FROM be WHERE doc_id % 5 = 0)
+SELECT doc_id, CASE WHEN m >= f THEN 'in_distribution' ELSE 'out_of_distribution' END AS status, round(m, 6) AS maximum, round(f, 6) AS floor, n AS nearest FROM be, fl WHERE doc_id % 5 = 1""")
+def lineage_status(spark, d):
+    """Documents as genomes: three of five are for training, one for calibration, one is new."""
+    g = R.grams(spark, d)
+    made = lineage.build(g.where("doc_id % 5 > 1"), g.where("doc_id % 5 = 0"), table(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id"), "doc_id", "g", 5, 0.4)
+    found = lineage.evaluate(g.where("doc_id % 5 = 1"), table(spark, d, "documents").where("doc_id % 5 = 1").select("doc_id"), made)
+    return found.select("doc_id", "status", F.round("maximum", 6).alias("maximum"), F.round("floor", 6).alias("floor"), "nearest")
+
+
 # beyond the reference's inputs: counts in windows, on a batch here and on a stream in the tests
 
 

@@ -46,6 +46,16 @@ def detected(spark: SparkSession, d: str) -> DataFrame:
 DET = "det AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders)"
 
 
+def modeling(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with orders as genomes, market segments as drugs, order priorities as features."""
+    priorities = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+    wide = detected(spark, d).withColumn("one", F.lit(1.0)).groupBy("o_custkey").pivot("o_orderpriority", list(priorities)).max("one").na.fill(0)
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    rows = wide.join(c, F.col("o_custkey") == k)
+    split = F.when(k % 20 < 14, "train").when(k % 20 < 17, "calibration").otherwise("test")
+    return rows.select(k.alias("genome_id"), F.col("c_mktsegment").alias("drug"), split.alias("split"), (F.col("c_acctbal") < 3000).cast("int").alias("y"), *[F.col(f"`{p}`").alias(f"f{p[0]}") for p in priorities])
+
+
 def grams(spark: SparkSession, d: str) -> DataFrame:
     """Distinct lower-cased word 5-grams of documents."""
     w = table(spark, d, "documents").select("doc_id", F.filter(F.split(F.lower("text"), "[ \t\n\r]+"), lambda x: x != "").alias("w")).where(F.size("w") >= 5)
@@ -60,10 +70,13 @@ sim AS (SELECT l, r, pow(2 * j / (1 + j), 0.2::DOUBLE) AS ani FROM (SELECT l, r,
 edge AS (SELECT l AS left_id, r AS right_id, ani AS estimated_ani FROM sim WHERE l < r AND ani >= 0.95)"""
 
 
+#: Numbers of an embedding.
+WIDTH = 64
+
+
 def profiles(spark: SparkSession, d: str) -> DataFrame:
-    """Embeddings as binary profiles: which of the first eight numbers are positive."""
-    v = F.slice("embedding", 1, 8)
-    return table(spark, d, "embeddings").select("vec_id", F.filter(F.transform(v, lambda x, i: F.when(x > 0, i + 1)), lambda x: x.isNotNull()).alias("profile"))
+    """Embeddings as binary profiles: which of their numbers are positive."""
+    return table(spark, d, "embeddings").select("vec_id", F.filter(F.transform("embedding", lambda x, i: F.when(x > 0, i + 1)), lambda x: x.isNotNull()).alias("profile"))
 
 
-PROF = "prof AS (SELECT vec_id, list_filter(range(1, 9), lambda i: embedding[i] > 0) AS profile FROM embeddings)"
+PROF = "prof AS (SELECT vec_id, list_filter(range(1, len(embedding) + 1), lambda i: embedding[i] > 0) AS profile, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT AS u, list_sum(list_transform(range(33, 65), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - 33) ELSE 0 END))::BIGINT AS v FROM embeddings)"

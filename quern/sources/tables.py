@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tomllib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,9 +67,19 @@ def write_both(df: DataFrame, parquet: str, csv: str) -> None:
     write_csv(df.sparkSession.read.parquet(parquet), csv)
 
 
+def _in_order(c: Column, kind: DataType) -> Column:
+    """A value whose structures have their fields in order of names."""
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*[_in_order(c[f.name], f.dataType).alias(f.name) for f in sorted(kind, key=lambda f: f.name)]))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: _in_order(x, kind.elementType))
+    return c
+
+
 def write_documents(df: DataFrame, path: str) -> None:
-    """Each row as one JSON line."""
-    df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.mode("overwrite").text(path)
+    """Each row as one JSON line, with the keys of all levels in order."""
+    whole = F.struct(*[_in_order(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(df.schema, key=lambda f: f.name)])
+    df.select(F.to_json(whole).alias("value")).write.mode("overwrite").text(path)
 
 
 def upload_accepted(length, name, cap: int = 25 * 1024 * 1024):
@@ -76,8 +87,8 @@ def upload_accepted(length, name, cap: int = 25 * 1024 * 1024):
 
 
 def first_source(ids: DataFrame, sources: list[DataFrame], key: str, value: str) -> DataFrame:
-    """The value from the first source that has one; ids keep their first position once."""
+    """The value from the first source that has one, for each row of ``ids``; of a source's several values the least counts."""
     out = ids
     for k, s in enumerate(sources):
-        out = out.join(s.select(key, F.col(value).alias(f"_{k}")), key, "left")
+        out = out.join(s.groupBy(key).agg(F.min(value).alias(f"_{k}")), key, "left")
     return out.select(*ids.columns, F.coalesce(*[F.col(f"_{k}") for k in range(len(sources))]).alias(value))
