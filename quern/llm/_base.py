@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 #: Bytes of one Arrow batch sent to a Python worker, and rows in it.
 BATCH_BYTES = 4 << 20
@@ -81,6 +82,31 @@ def release() -> None:
         discard(table)
 
 
+#: Rows of a narrow table that is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def kept(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a table of a few numbers a row, written and counted: marked for broadcast if it
+    has up to ``rows`` rows. Larger ones are joined by a shuffle, where Spark splits skewed keys."""
+    table = stash(df, name)
+    if table.count() > rows:
+        return table
+    path, table = table._quern_path, broadcast(table)
+    table._quern_path = path
+    return table
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that ``df`` doesn't have, whatever their case."""
+    there, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in there:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what a Python worker gets at once, by bytes and rows, whatever the texts' length.
 
