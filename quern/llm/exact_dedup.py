@@ -9,12 +9,15 @@ task at most.
 
 Memory is bounded by spilling subtrees. Before the shuffle a trie over its budget gives
 its largest subtree's owners downstream, where they meet again. After the shuffle rows
-come sorted by length and hash, so whatever lies before the current hash is complete and
-leaves the trie.
+come sorted by length and hash, so whatever lies before the current hash is complete: there
+the subtree that a trie over its budget spills is the whole trie, in its final form. Rows of
+one text are one for each input task after the first pass; the join that marks all rows by
+their owner is split by Spark where a text has very many (tests hold a hot text).
 
 Defined results: a null text counts as empty; empty texts equal each other; a null
-identifier never owns a group unless all of the group are null; repeated rows count as
-rows of their group; other columns are ignored.
+identifier never owns a group unless all of the group are null; a text of any length is one
+key; repeated rows count as rows of their group; an empty table gives no row; other columns,
+whatever their names, are ignored or, by :func:`drop_duplicates`, passed on.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import batch, documents, mapped, small_batches
+from ._base import batch, documents, fresh, mapped, small_batches
 
 #: Bytes of labels that one task's tries hold before they spill.
 TRIE_BYTES = 48 << 20
@@ -208,12 +211,16 @@ def mark_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that own their text, with all columns; any one of rows with the owner's identifier and text stays."""
-    own = owners(docs, doc_id, text).select(F.lower(F.hex("digest")).alias("_dedup_sha"), F.col("owner").alias("_dedup_id"))
-    rows = docs.withColumn("_dedup_of", F.sha2(F.encode(normalised(F.col(text)), "UTF-8"), 256))
-    kept = rows.join(own, (rows._dedup_of == own._dedup_sha) & rows[doc_id].cast("long").eqNullSafe(own._dedup_id), "left_semi")
-    twice = ["_dedup_of"] if doc_id not in docs.columns else ["_dedup_of", doc_id]
-    return kept.dropDuplicates(twice).select(*docs.columns)
+    """The rows of ``docs`` that own their text, with all columns; any one of rows with the owner's identifier and text stays.
+
+    Rows meet their owners by text and identifier, so copies of one text spread over
+    tasks; repeated rows are dropped where they met, so texts move once.
+    """
+    sha, key = fresh(docs, "dedup_sha", "dedup_id")
+    name = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit(""))
+    own = owners(docs, doc_id, text).select(F.lower(F.hex("digest")).alias(sha), name(F.col("owner")).alias(key))
+    rows = docs.withColumns({sha: F.sha2(F.encode(normalised(F.col(text)), "UTF-8"), 256), key: name(F.col(doc_id))})
+    return rows.join(own, [sha, key], "left_semi").dropDuplicates([sha, key]).select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,10 @@ Scale: documents are read once for sizes; cells are pre-aggregated before the sh
 source with a third of all rows makes CELLS rows a task at most. What the driver holds is
 three sums a round. The table of sources is broadcast only if it is counted to be small.
 
-Defined results: a null text counts as empty; a null source is a source of its own, ordered
-last; a null identifier hashes as an empty one; repeated rows count as often as they occur
-and are taken alike; without words targets are 0; other columns pass through.
+Defined results: a null text counts as empty; a text of any length is counted whole; a null
+source is a source of its own, ordered last; a null identifier hashes as an empty one; repeated
+rows, and rows of one identifier, count as often as they occur and are taken alike; without words
+targets are 0; an empty table gives no row; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._base import documents, stash
+from ._base import discard, documents, fresh, stash
 
 WEIGHTS = (3, 1, 2)
 RATIO = 1.5
@@ -101,8 +102,8 @@ def plan(sized: DataFrame, weights=WEIGHTS, ratio=RATIO, max_epochs=MAX_EPOCHS)
     cells = stash(sized.groupBy("source", "cell").agg(F.sum("size").alias("words")), "cells")
     of = ranked(cells.groupBy("source").agg(F.sum("words").alias("source_size")))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
-    of = stash(of.withColumn("weight", weight), "weights")
-    of = water_fill(of, ratio, max_epochs)
+    weighted = stash(of.withColumn("weight", weight), "weights")
+    of = water_fill(weighted, ratio, max_epochs)
     of = of.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     of = of.withColumn("part_words", F.col("target") - F.col("whole") * F.col("source_size"))
     up_to = F.sum("words").over(Window.partitionBy("source").orderBy("cell"))
@@ -116,6 +117,7 @@ def plan(sized: DataFrame, weights=WEIGHTS, ratio=RATIO, max_epochs=MAX_EPOCHS)
     )
     done = of.join(edge, of.source.eqNullSafe(F.col("cell_source")), "left").select(of.source.alias("of_source"), "source_size", "weight", "target", "whole", F.coalesce("edge", F.lit(CELLS)).alias("edge"), F.coalesce("edge_share", F.lit(0.0)).alias("edge_share"))
     done = stash(done, "plan")
+    discard(cells, weighted)
     n, names = done.agg(F.count("*"), F.sum(F.coalesce(F.octet_length("of_source"), F.lit(0)))).first()
     return done, n <= BROADCAST_ROWS and (names or 0) <= BROADCAST_BYTES
 
@@ -147,23 +149,23 @@ def sample(docs: DataFrame, doc_id="doc_id", text="text", source="source", weigh
     key = F.col(doc_id).cast("long")
     sized = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _cell(key, seed).alias("cell"))
     of, small = plan(sized, weights, ratio, max_epochs)
-    names = {x: f"_mix_{x}" for x in of.columns}
-    rows = docs.withColumn("_mix_cell", _cell(key, seed))
-    for old, new in names.items():
-        of = of.withColumnRenamed(old, new)
-    rows = rows.join(F.broadcast(of) if small else of, rows[source].eqNullSafe(of._mix_of_source))
+    names = dict(zip(of.columns, fresh(docs, *[f"mix_{x}" for x in of.columns]), strict=True))
+    cell, part, take = fresh(docs, "mix_cell", "mix_part", "mix_take")
+    of = of.withColumnsRenamed(names)
+    col = {k: F.col(v) for k, v in names.items()}
+    rows = docs.withColumn(cell, _cell(key, seed))
+    rows = rows.join(F.broadcast(of) if small else of, F.col(source).eqNullSafe(col["of_source"]))
     size = word_count(F.col(text))
-    part = F.least(size, F.floor(size * F.col("_mix_edge_share") + _unit(key, seed)).cast("long"))
-    partly = F.when(F.col("_mix_cell") == F.col("_mix_edge"), part).otherwise(F.lit(0).cast("long"))
-    full = F.col("_mix_whole") + F.when(F.col("_mix_cell") < F.col("_mix_edge"), 1).otherwise(0)
-    rows = rows.withColumn("_mix_part", partly)
-    takes = F.concat(F.array_repeat(F.lit(-1).cast("long"), full.cast("int")), F.when(F.col("_mix_part") > 0, F.array("_mix_part")).otherwise(F.array().cast("array<long>")))
-    rows = rows.withColumn("_mix_take", F.explode(takes))
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.greatest(F.col("_mix_take"), F.lit(1)).cast("int")), "")
-    cut = F.when(F.col("_mix_take") < 0, F.col(text)).otherwise(first)
-    out = {text: cut}
+    some = F.least(size, F.floor(size * col["edge_share"] + _unit(key, seed)).cast("long"))
+    full = col["whole"] + F.when(F.col(cell) < col["edge"], 1).otherwise(0)
+    rows = rows.withColumn(part, F.when(F.col(cell) == col["edge"], some).otherwise(F.lit(0).cast("long")))
+    takes = F.concat(F.array_repeat(F.lit(-1).cast("long"), full.cast("int")), F.when(F.col(part) > 0, F.array(part)).otherwise(F.array().cast("array<long>")))
+    rows = rows.withColumn(take, F.explode(takes))
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.greatest(F.col(take), F.lit(1)).cast("int")), "")
+    whole = F.col(take) < 0
+    out = {text: F.when(whole, F.col(text)).otherwise(first)}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_mix_take") < 0, F.col("n_chars")).otherwise(F.char_length(first)).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.char_length(first)).cast(docs.schema["n_chars"].dataType)
     return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
 
 

@@ -156,8 +156,45 @@ def test_join_of_odd_input(odd):
     assert shingle_join.keep_one(odd).columns == odd.columns
 
 
+def plain_shingles(text):
+    """As the contract words it, with a plain lower-casing of A-Z."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_shingles_equal_plain_ones():
+    rng = random.Random(9)
+    pieces = ["A", "Ä", "ä", "É", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "b", "ſ", "K", "\x00"]
+    spaces = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "  "]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", *spaces]) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    for x, y in zip(texts, texts[1:], strict=False):
+        a, b = shingle_join.shingles(x), shingle_join.shingles(y)
+        p, q = plain_shingles(x), plain_shingles(y)
+        assert (len(a), len(b), len(np.intersect1d(a, b))) == (len(p), len(q), len(p & q))
+
+
+def test_a_large_family_is_one_component(spark):
+    """Thousands of copies and near copies under few tasks, with every broadcast ruled out."""
+    rng = random.Random(12)
+    base, rows = [f"w{i}" for i in range(80)], []
+    for i in range(1500):
+        words = list(base)
+        if i % 3:
+            words[rng.randrange(80)] = f"x{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for bound in (500_000, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(shingle_join, "BROADCAST_ROWS", bound)
+            patch.setattr(shingle_join.kept, "__defaults__", (bound,))
+            assert {r.component_id for r in shingle_join.link_components(df).collect()} == {0}
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501)], "a long, b long")
+    hub = spark.range(1, 3000).select(F.lit(10**6).alias("a"), (F.col("id") + 10**6).alias("b"))
+    assert components(hub).select("root").distinct().count() == 1
     found = components(edges).groupBy("root").agg(F.count("*").alias("n")).select("n")
     assert sorted(r.n for r in found.collect()) == [2, 101]
 
@@ -584,6 +621,24 @@ def test_bpe_of_odd_input(odd):
 # exact dedup
 
 
+def test_helper_columns_meet_no_other_ones(spark):
+    names = ["dedup_sha", "Dedup_Id", "_dedup_id", "drop_id", "drop_text", "mix_cell", "mix_take", "MIX_part", "mix_target", "_mix_take"]
+    docs = spark.createDataFrame([(1, "a b", "s"), (2, "a  b", "s"), (2, "a  b", "s"), (3, "c d e", None)], "doc_id long, text string, source string").withColumns({n: F.lit(n) for n in names})
+    for got in (exact_dedup.drop_duplicates(docs), shingle_join.keep_one(docs)):
+        rows = got.collect()
+        assert got.columns == docs.columns and sorted({r.doc_id for r in rows}) == [1, 3] and all(r[n] == n for r in rows for n in names)
+    got = mixing.sample(docs)
+    assert got.columns == docs.columns and all(r[n] == n for r in got.collect() for n in names)
+
+
+def test_repeated_owners_stay_once(spark):
+    docs = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (1, "b", 3), (None, "c", 4), (None, "c", 5), (2, "a", 6)], "doc_id long, text string, x int")
+    got = sorted((r.doc_id or 0, r.text) for r in exact_dedup.drop_duplicates(docs).collect())
+    assert got == [(0, "c"), (1, "a"), (1, "b")]
+    hot = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "same text").otherwise(F.col("id").cast("string")).alias("text"))
+    assert exact_dedup.mark_duplicates(hot).where("group_size = 2666 and keep_id = 1").count() == 2666 and exact_dedup.drop_duplicates(hot).count() == 1335
+
+
 def test_trie_and_its_spills():
     rng, trie, want, out = random.Random(1), exact_dedup.Patricia(), collections.Counter(), collections.Counter()
     for i in range(3000):
