@@ -26,6 +26,7 @@ import hashlib
 import heapq
 import json
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ from ._base import batch, documents, mapped, small_batches, texts, worker_cache
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a worker remembers in each of two generations, and fragments.
 CACHE, FRAGMENTS = 150_000, 60_000
-#: Marks that may end a word.
-MARKS = ".,;:!?"
+#: Marks that may end a word: with others of their kind they are one token of the pre-tokeniser.
+MARKS = string.punctuation
 #: Fragments up to so many bytes merge by a plain scan, longer ones with a heap.
 SCAN = 48
 

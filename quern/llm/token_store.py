@@ -35,9 +35,11 @@ import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +49,10 @@ from .bpe import MARKS, byte_letters, vocabulary_path
 END = 0
 #: Ids of a block at most, blocks coded in step, ids of a record of several documents.
 BLOCK, LANES, RECORD = 4096, 2048, 1 << 16
-#: Words in each of the two generations that a worker remembers the ids of.
-CACHE = 250_000
+#: Pieces of texts that a worker remembers the ids of.
+CACHE = 800_000
+#: Bytes of texts that are encoded together, at least.
+TOGETHER = 12 << 20
 MAGIC = b"QCM2"
 _HEAD = "<4sIIIII"
 
@@ -76,76 +80,131 @@ class Encoder:
         self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and file.get("normalizer") is None
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.small: dict[str, bytes] = {}
         self.model = self.tokenizer.model.tokenize
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.small: dict[str, list[int]] = {}
+        #: Remembered pieces, where their ids begin among all ids, how many they are (-1: the text goes whole), and when each was met last.
+        self.pieces, self.ids = pa.array([], pa.string()), np.zeros(0, self.dtype)
+        self.begin, self.many, self.met, self.turn = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
-    def library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
+    def library(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _letters(self, text: str) -> bytes:
+    def _letters(self, text: str) -> list[int]:
         """Ids of a pre-token of letters, perhaps with a space before them."""
         if text.isascii():
             spelled = "\u0120" + text[1:] if text[0] == " " else text
         else:
             spelled = "".join([self.letters[b] for b in text.encode()])
-        return np.array([x.id for x in self.model(spelled)], self.dtype).tobytes()
+        return [x.id for x in self.model(spelled)]
 
-    def _few(self, text: str) -> bytes:
+    def _few(self, text: str) -> list[int]:
         """Ids of marks or a line break, of which there are few."""
         ids = self.small.get(text)
         if ids is None:
             if len(self.small) > 10_000:
                 self.small.clear()
-            ids = self.small[text] = self.library(text)
+            ids = self.small[text] = self.library(text) if text else []
         return ids
 
-    def _piece(self, p: str) -> bytes | None:
+    def _piece(self, p: str) -> list[int] | None:
         """Ids of what stands between two spaces, the first of which counts to it, or a line
         break does; None if it has other white space at its ends."""
-        ids = self.young.get(p)
-        if ids is None:
-            ids = self.old.get(p)
-            if ids is None:
-                core = p.rstrip(MARKS)
-                if len(core) < len(p) and core.isalpha():
-                    return self._piece(core) + self._few(p[len(core) :])
-                if not p or (p[-1].isspace() and p != "\n") or (p[0].isspace() and (p[0] != "\n" or p[1:2].isspace())):
-                    return None
-                if core.isalpha():
-                    ids = self._letters(" " + p)
-                elif p[0] == "\n" and core[1:].isalpha():
-                    ids = self._few("\n") + self._letters(core[1:]) + (self._few(p[len(core) :]) if len(core) < len(p) else b"")
-                else:
-                    ids = self.library(p if p[0] == "\n" else " " + p)
-                if len(p) > 64:
-                    return ids
-            if len(self.young) >= CACHE:
-                self.old, self.young = self.young, {}
-            self.young[p] = ids
-        return ids
-
-    def _cut(self, text: str) -> bytes | None:
-        if not self.cuts or "\n\n" in text or "  " in text or any(x in text for x in self.added):
+        if not p or (p[-1].isspace() and p != "\n") or (p[0].isspace() and (p[0] != "\n" or p[1:2].isspace())):
             return None
-        first, *rest = text.replace("\n", " \n").split(" ")
-        if first[-1:].isspace():
-            return None
-        out = list(map(self.young.get, rest))
-        if None in out:
-            at = -1
-            for _ in range(out.count(None)):
-                at = out.index(None, at + 1)
-                ids = out[at] = self._piece(rest[at])
-                if ids is None:
-                    return None
-        return (self.library(first) if first else b"") + b"".join(out)
+        if p.isalpha():
+            return self._letters(" " + p)
+        if p[0] == "\n" and p[1:].isalpha():
+            return self._few("\n") + self._letters(p[1:])
+        return self.library(p if p[0] == "\n" else " " + p)
+
+    def _add(self, words: list[str], ids: list[list[int] | None]) -> np.ndarray:
+        """Remembers pieces with their ids, and gives their places."""
+        many = np.array([-1 if x is None else len(x) for x in ids], np.int64)
+        size = np.maximum(many, 0)
+        self.begin = np.concatenate([self.begin, len(self.ids) + size.cumsum() - size])
+        self.many, self.met = np.concatenate([self.many, many]), np.concatenate([self.met, np.full(len(words), self.turn)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(x for x in ids if x), self.dtype, int(size.sum()))])
+        self.pieces = pa.concat_arrays([self.pieces, pa.array(words, pa.string())])
+        return np.arange(len(self.pieces) - len(words), len(self.pieces))
+
+    def _find(self, pieces: pa.Array) -> np.ndarray:
+        return pc.index_in(pieces, value_set=self.pieces).fill_null(-1).to_numpy().astype(np.int64)
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """The places of pieces, all different, among the remembered ones, to which new ones are added.
+
+        A word with marks behind it takes its ids from the word and the marks.
+        """
+        place = self._find(pieces)
+        new = np.flatnonzero(place < 0)
+        if not len(new):
+            return place
+        words = pieces.take(pa.array(new)).to_pylist()
+        ids: dict[str, list[int] | None] = {}
+        marked = []
+        for w in words:
+            if w[-1:] in MARKS and w:
+                core = w.rstrip(MARKS)
+                if core.isalpha() or (core[:1] == "\n" and core[1:].isalpha()):
+                    marked.append((w, core))
+                    continue
+            ids[w] = self._piece(w)
+        if marked:
+            cores = list({c for _, c in marked}.difference(ids))
+            at = self._find(pa.array(cores, pa.string()))
+            of = {c: self.ids[self.begin[k] : self.begin[k] + self.many[k]].tolist() if k >= 0 else None for c, k in zip(cores, at.tolist(), strict=True)}
+            for c in [c for c, x in of.items() if x is None]:
+                of[c] = ids[c] = self._piece(c)
+            for w, c in marked:
+                ids[w] = (of[c] if c in of else ids[c]) + self._few(w[len(c) :])
+        there = dict(zip(ids, self._add(list(ids), list(ids.values())).tolist(), strict=True))
+        place[new] = [there[w] for w in words]
+        return place
+
+    def _forget(self) -> None:
+        """Beyond CACHE pieces, keeps those that were met last, half as many."""
+        if len(self.pieces) <= CACHE:
+            return
+        keep = np.sort(np.argpartition(-self.met, CACHE // 2)[: CACHE // 2])
+        size = np.maximum(self.many[keep], 0)
+        self.ids = self.ids[_spread(self.begin[keep], size)]
+        self.pieces, self.many, self.met = self.pieces.take(pa.array(keep)), self.many[keep], self.met[keep]
+        self.begin = size.cumsum() - size
 
     def encode(self, some: list[str]) -> list[np.ndarray]:
-        packed = [self._cut(t) if t else b"" for t in some]
-        return [np.frombuffer(self.library(t) if p is None else p, self.dtype) for t, p in zip(some, packed, strict=True)]
+        """The ids of each text."""
+        self.turn += 1
+        out: list = [None] * len(some)
+        cut = [k for k, t in enumerate(some) if t and self.cuts and "\n\n" not in t and "  " not in t and not any(x in t for x in self.added)]
+        heads = [some[k].replace("\n", " \n").split(" ", 1) for k in cut]
+        both = [(k, h) for k, h in zip(cut, heads, strict=True) if len(h) == 2 and not h[0][-1:].isspace()]
+        if both:
+            lists = pc.split_pattern(pa.array([h[1] for _, h in both], pa.large_string()), " ")
+            flat = lists.flatten()
+            if flat.nbytes < 1 << 30:  # else texts are too long for it, and go whole
+                coded = flat.cast(pa.string()).dictionary_encode()
+                place = self._places(coded.dictionary)
+                self.met[place] = self.turn
+                place = place[coded.indices.to_numpy()]
+                many, ends = self.many[place], lists.offsets.to_numpy()
+                ids = self.ids[_spread(self.begin[place], np.maximum(many, 0))]
+                upto, bad = np.r_[0, np.maximum(many, 0).cumsum()], np.r_[0, (many < 0).cumsum()]
+                for i, (k, h) in enumerate(both):
+                    a, z = ends[i], ends[i + 1]
+                    if bad[a] == bad[z]:
+                        out[k] = np.concatenate([np.array(self._few(h[0]), self.dtype), ids[upto[a] : upto[z]]])
+                self._forget()
+        for k, t in enumerate(some):
+            if out[k] is None:
+                out[k] = np.array(self.library(t) if t else [], self.dtype)
+        return out
+
+
+def _spread(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Places of runs: ``many`` from each ``begin`` on."""
+    ends = many.cumsum()
+    return np.repeat(begin - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 _U = np.uint64
@@ -636,6 +695,20 @@ _RECORD = pa.schema([("part", pa.int32()), ("record", pa.int64()), ("begin", pa.
 _RECORD_SQL = "part int, record long, begin long, doc_ids array<long>, counts array<int>, blocks binary"
 
 
+def _many(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Identifiers and texts of some batches at a time, which the encoder's look-ups share."""
+    names, some, size = [], [], 0
+    for b in batches:
+        names += b.column(0).to_pylist()
+        some += [t or "" for t in b.column(1).to_pylist()]
+        size += b.nbytes
+        if size >= TOGETHER:
+            yield names, some
+            names, some, size = [], [], 0
+    if names:
+        yield names, some
+
+
 def write_records(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The records of ``docs``, in order of identifiers within and across partitions."""
     small_batches(docs.sparkSession)
@@ -663,9 +736,8 @@ def write_records(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
             groups, held = [], 0
             return batch(_RECORD, **rows)
 
-        for b in batches:
-            some = [t or "" for t in b.column(1).to_pylist()]
-            for d, x in zip(b.column(0).to_pylist(), own.encode(some), strict=True):
+        for names, some in _many(batches):
+            for d, x in zip(names, own.encode(some), strict=True):
                 docs_of.append(d)
                 counts.append(len(x) + 1)
                 ids += [x, np.array([END], own.dtype)]
