@@ -2,21 +2,24 @@ r"""Toxicity scores from a weighted finite-state grammar over clauses.
 
 Lexical transducers read letters: an Aho-Corasick automaton of word beginnings and whole
 words gives each insult its weight, learned as the log-odds of labelled rows, besides a
-few seeds; small word sets give threats, targets, negation and reported speech. The
-clause transducer composes them: within a clause an insult or threat runs through the
-states plain, negated (a negation up to four words before) and reported (a verb of saying
-before it, or quotation marks around), and may meet a target. A document's features are
-the weights that its matched clauses add up in each state; a logistic layer, fitted on
-labelled rows, turns them into a score. A word alone counts by the clause it stands in.
+few seeds, and threats theirs. The clause transducer is the product of four small ones over the
+classes of words and quotation marks: negation (which reaches four words), quotation,
+verbs of saying, and targets. Walking a clause, an insult or threat gives its weight out in
+the mode of the state it meets: plain, negated or reported; the state at the clause's end says
+whether it had a target. A document's features are the weights that its matched clauses add
+up in each mode; a logistic layer, fitted on labelled rows, turns them into a score. A word
+alone counts by the clause it stands in.
 
 Rows whose ``crc32(doc_id as text) mod 5`` is 0 are never learned from. The fit reads at
 most ``TRAIN_ROWS`` labelled rows, those first by hash; counting of terms is distributed
 and only the lexicon and the few features of those rows reach the driver. Labels, lang,
 source and doc_id are no inputs of a score. Scoring is one narrow pass without a shuffle.
 
-Defined results: a null text counts as empty and gets the score of no match; a null
-identifier counts as empty text in the crc32; repeated rows get equal scores; without
-labelled rows of both classes only seeds count, with fixed weights.
+Defined results: a null text counts as empty and gets the score of no match; texts and clauses
+of any length are read whole; a null identifier counts as empty text in the crc32; repeated rows
+get equal scores; of several labels of one identifier the largest counts; without labelled
+rows of both classes only seeds count, with fixed weights; an empty table gives no row; other
+columns, whatever their names, are ignored or, by :func:`keep_clean`, passed on.
 """
 
 from __future__ import annotations
@@ -30,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import batch, documents, mapped, small_batches, texts, worker_cache
+from ._base import batch, discard, documents, mapped, small_batches, stash, texts, worker_cache
 
-#: Labelled rows that the fit reads at most, and terms that the lexicon holds at most.
-TRAIN_ROWS, LEXICON = 20_000, 4_000
+#: Labelled rows that the fit reads at most, and hashes that copies among them share.
+TRAIN_ROWS, SKETCH = 20_000, 4
 #: A learned term occurs in so many toxic rows, and this share of its rows is toxic.
 SUPPORT, PRECISION = 4, 0.9
 #: Lengths of word beginnings that are tried as terms.
@@ -44,11 +47,12 @@ INSULTS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "worthless", "p
 THREATS = ("kill", "murder", "stab", "shoot", "burn", "destroy", "hurt", "beat", "töten", "umbringen", "tuer", "matar")
 TARGETS = frozenset("you your yours u he she they them him her his their du dich dein ihr sie tu te toi vous ton il elle ils tú te usted ustedes él ella ellos".split())
 NEGATIONS = frozenset("not never no isn't aren't wasn't don't nicht kein keine nie pas jamais non ni nunca nadie".split())
-SAYING = frozenset("said says say called calls wrote writes quoted told sagt sagte schrieb dit disait écrit dijo dice escribió".split())
+SAYING_WORDS = frozenset("said says say called calls wrote writes quoted told sagt sagte schrieb dit disait écrit dijo dice escribió".split())
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _STOP = re.compile(r"[.!?;:\n]")
 _QUOTES = '"“”«»„'
+_SYMBOL = re.compile(rf"{_WORD.pattern}|[{_QUOTES}]")
 
 FEATURES = 9
 
@@ -91,47 +95,83 @@ class Grammar:
         found = self.matches(low)
         if not found:
             return [0.0] * FEATURES
-        stops, clause, until = [m.start() for m in _STOP.finditer(low)], None, -1
+        stops, until = [m.start() for m in _STOP.finditer(low)], -1
         states, threats, aimed, heaviest, n = [0.0, 0.0, 0.0], [0, 0, 0], 0, 0.0, 0
         for at in sorted(found):
-            weight, kind = found[at]
-            if at >= until:
-                k = bisect_left(stops, at)
-                until = stops[k] if k < len(stops) else len(low)
-                clause = Clause(low, stops[k - 1] + 1 if k else 0, until)
-            state, target = clause.state(at)
-            if kind:
-                threats[state] += target
+            if at < until:
                 continue
-            states[state] += weight
-            aimed, heaviest, n = aimed + target, max(heaviest, weight), n + 1
+            k = bisect_left(stops, at)
+            until = stops[k] if k < len(stops) else len(low)
+            for mode, target, weight, kind in walk(low, stops[k - 1] + 1 if k else 0, until, found):
+                if kind:
+                    threats[mode] += target
+                    continue
+                states[mode] += weight
+                aimed, heaviest, n = aimed + target, max(heaviest, weight), n + 1
         return [*np.log1p(states).tolist(), float(np.log1p(aimed)), *np.log1p(threats).tolist(), heaviest, 100 * n / (low.count(" ") + 1)]
 
 
-class Clause:
-    """A clause, read once whatever its length, for the matches in it."""
-
-    def __init__(self, low: str, begin: int, end: int):
-        found = list(_WORD.finditer(low, begin, end))
-        self.low, self.words = low, [m[0] for m in found]
-        self.starts, self.ends = [m.start() for m in found], [m.end() for m in found]
-        self.targets = sum(w in TARGETS for w in self.words)
-        self.said = next((i for i, w in enumerate(self.words) if w in SAYING), len(self.words))
-        self.quotes = [i for i in range(begin, end) if low[i] in _QUOTES]
-
-    def state(self, at: int) -> tuple[int, bool]:
-        """Plain (0), negated (1) or reported (2), and whether there is a target, for the word at a place."""
-        i = bisect_left(self.starts, at)
-        cut = i > 0 and self.ends[i - 1] > at  # a word that an apostrophe cuts: its first part stands before
-        own = i - 1 if cut else i
-        before = self.words[max(0, own - 4) : own]
-        if cut:
-            before = [*before, *_WORD.findall(self.low, self.starts[own], at)][-4:]
-        others = self.targets - (own < len(self.words) and self.words[own] in TARGETS)
-        target = others > 0 or (cut and before[-1:] != [] and before[-1] in TARGETS)
-        if bisect_left(self.quotes, at) % 2 or self.said < own or (cut and not SAYING.isdisjoint(before)):
-            return 2, target
-        return int(not NEGATIONS.isdisjoint(before)), target
+# The clause transducer is composed of four small ones, each over the classes of a clause's
+# symbols. A transducer lists its states, the first one first, each as the states that
+# classes lead to; classes that are not named leave it as it is.
+OTHER, TARGET, NEGATION, SAYING, QUOTE = range(5)
+_WORD_CLASSES = (OTHER, TARGET, NEGATION, SAYING)
+#: How many words a negation reaches, from its own word on.
+REACH = 4
+#: States: how many words a negation still reaches; whether a quotation is open; whether a verb of saying was met; targets met (0, 1, more).
+NEGATED = [{c: REACH if c == NEGATION else max(0, left - 1) for c in _WORD_CLASSES} for left in range(REACH + 1)]
+QUOTED = [{QUOTE: 1}, {QUOTE: 0}]
+SAID = [{SAYING: 1}, {}]
+AIMED = [{TARGET: 1}, {TARGET: 2}, {}]
+PLAIN_MODE, NEGATED_MODE, REPORTED_MODE = 0, 1, 2
+
+
+def compose(*machines: list[dict[int, int]]) -> tuple[list[list[int]], list[tuple[int, ...]]]:
+    """The product of transducers that read one tape: for each state and class the next state, and
+    what each state is in each of them. The first state is that of all of them."""
+    begin = tuple(0 for _ in machines)
+    states, at, table = [begin], {begin: 0}, []
+    for state in states:  # grows as states are reached
+        row = []
+        for symbol in range(5):
+            to = tuple(m[x].get(symbol, x) for m, x in zip(machines, state, strict=True))
+            if to not in at:
+                at[to] = len(states)
+                states.append(to)
+            row.append(at[to])
+        table.append(row)
+    return table, states
+
+
+_MOVES, _STATES = compose(NEGATED, QUOTED, SAID, AIMED)
+#: The mode of a word that meets each state, and how many targets that state has met.
+_MODES = [REPORTED_MODE if quoted or said else NEGATED_MODE if left else PLAIN_MODE for left, quoted, said, _ in _STATES]
+_TARGETS_MET = [met for *_, met in _STATES]
+
+
+def class_of(word: str) -> int:
+    return NEGATION if word in NEGATIONS else SAYING if word in SAYING_WORDS else TARGET if word in TARGETS else OTHER
+
+
+def walk(low: str, begin: int, end: int, found: dict[int, tuple[float, int]]) -> list[tuple[int, bool, float, int]]:
+    """Runs the composed transducer over one clause, whatever its length: (mode, whether it
+    has a target, weight, kind) of each match in it. A match within a word, behind an
+    apostrophe, ends that word's first part. A match is no target of its own."""
+    state, out, own = 0, [], []
+    for m in _SYMBOL.finditer(low, begin, end):
+        if m[0] in _QUOTES:
+            state = _MOVES[state][QUOTE]
+            continue
+        a, z = m.span()
+        cuts = [a, *(x for x in range(a + 1, z) if x in found), z]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            kind = class_of(low[x:y].rstrip("'"))
+            if x in found:
+                out.append((_MODES[state], *found[x]))
+                own.append(kind == TARGET)
+            state = _MOVES[state][kind]
+    met = _TARGETS_MET[state]
+    return [(mode, met > mine, weight, kind) for (mode, weight, kind), mine in zip(out, own, strict=True)]
 
 
 def grammar(lexicon: dict[str, float]) -> Grammar:
@@ -149,9 +189,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="tex
     """Text and label of the labelled rows that may be learned from, ``rows`` at most.
 
     Identifiers are chosen by hash before texts are read; the chosen are few enough to
-    broadcast by the bound. Of labels of one identifier the largest counts. Copies, which
-    share their least-hashed three words, count once, so words of a much-copied text gain
-    no weight by its copies.
+    broadcast by the bound. Of labels of one identifier the largest counts. Rows of one label
+    whose ``SKETCH`` least-hashed runs of three words are the same are copies, or nearly so, and
+    count once, so words of a much-copied text gain no weight by its copies.
     """
     may = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(doc_id)))
     may = may.groupBy(F.col(doc_id).cast("long").alias("of")).agg(F.max(F.col(label).cast("int")).alias("label"))
@@ -159,8 +199,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="tex
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(some), F.col("id") == F.col("of"))
     rows = rows.select("label", F.coalesce("text", F.lit("")).alias("text")).withColumn("words", F.split(F.lower("text"), r"\s+"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("words", i, 3), " ")))
-    family = rows.select(F.array_min(grams).alias("family"), F.struct("label", "text").alias("row"))
-    return family.groupBy("family").agg(F.max("row").alias("row")).select("row.text", "row.label")
+    family = rows.select("label", "text", F.slice(F.array_sort(F.array_distinct(grams)), 1, SKETCH).alias("family"))
+    return family.groupBy("label", "family").agg(F.max("text").alias("text")).select("text", "label")
 
 
 def _count(batches):
@@ -185,11 +225,14 @@ def _chunks(many: list, n: int = 50_000):
         yield many[i : i + n]
 
 
-def learn_lexicon(train: DataFrame, limit: int = LEXICON) -> dict[str, float]:
-    """Seeds and the terms that mark toxic rows, with weights; a term within another is left out."""
+def learn_lexicon(train: DataFrame) -> dict[str, float]:
+    """Seeds and all terms that mark toxic rows, with weights; a term within another is left out.
+
+    There are no more terms than the bounded rows have words, SUPPORT of them for each.
+    """
     counts = mapped(train, _count, "term string, toxic long, clean long", "toxicity").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     marks = counts.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
-    best = marks.orderBy(F.desc(F.col("toxic") / (F.col("clean") + 1)), "term").limit(limit).collect()
+    best = marks.collect()
     lexicon = {f"{x}$": 3.0 for x in INSULTS}
     kept: set[str] = set()
     for term, toxic, clean in sorted(best, key=lambda r: (len(r["term"]), r["term"])):
@@ -220,7 +263,7 @@ FALLBACK = [-3.0, 2.5, 0.5, 0.5, 0.5, 2.0, 0.5, 0.5, 0.5, 0.1]
 def train(docs: DataFrame, labels: DataFrame, **columns) -> tuple[dict[str, float], list[float]]:
     """The lexicon and the constant and weights of the logistic layer."""
     small_batches(docs.sparkSession)
-    rows = training_rows(docs, labels, **columns)
+    rows = stash(training_rows(docs, labels, **columns), "labelled")  # read once for words, once for features
     lexicon = learn_lexicon(rows)
 
     def run(batches):
@@ -230,6 +273,7 @@ def train(docs: DataFrame, labels: DataFrame, **columns) -> tuple[dict[str, floa
             yield batch(schema, x=[own.features(t) for t in texts(b.column(0))], label=b.column(1).cast(pa.int32()))
 
     found = mapped(rows, run, "x array<double>, label int", "toxicity").collect()
+    discard(rows)
     y = np.array([r["label"] > 0 for r in found], float)
     if not len(y) or y.min() == y.max():
         return lexicon, FALLBACK

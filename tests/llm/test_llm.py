@@ -423,6 +423,70 @@ def test_clauses_change_the_state():
     assert states('he said "idiot"')[2] and not states("idiotic")[0] and g.features("") == [0.0] * toxicity.FEATURES
 
 
+def plain_features(text, insults):
+    """The clause rules, told again without an automaton: lists of words, and sets."""
+    low, modes, threats, aimed, weights = text.lower(), [0, 0, 0], [0, 0, 0], 0, []
+    for clause in re.split(r"[.!?;:\n]", low):
+        symbols = re.findall(r"[^\W\d_]+|[\"“”«»„]", clause)
+        words = [x for x in symbols if x[0].isalpha()]
+        for i, x in enumerate(symbols):
+            if x not in insults and not any(x.startswith(t) for t in toxicity.THREATS):
+                continue
+            before = [y for y in symbols[:i] if y[0].isalpha()]
+            quoted = sum(not y[0].isalpha() for y in symbols[:i]) % 2
+            said = any(y in toxicity.SAYING_WORDS for y in before)
+            mode = 2 if quoted or said else 1 if any(y in toxicity.NEGATIONS for y in before[-4:]) else 0
+            rest = list(words)
+            rest.remove(x)
+            target = any(y in toxicity.TARGETS for y in rest)
+            if any(x.startswith(t) for t in toxicity.THREATS):
+                threats[mode] += target
+            else:
+                modes[mode] += insults[x]
+                aimed += target
+                weights.append(insults[x])
+    return [*np.log1p(modes), np.log1p(aimed), *np.log1p(threats), max(weights, default=0)]
+
+
+def test_walks_equal_the_rules_told_again():
+    rng, insults = random.Random(21), {"idiot": 3.0, "clown": 1.5, "grum": 2.25}
+    g = toxicity.Grammar({f"{k}$": v for k, v in insults.items()})
+    words = ["idiot", "clown", "grum", "kill", "you", "he", "not", "never", "said", "says", "lo", "ma", "ti", '"', "«", "»", ".", ",", "!", "nie", "töten"]
+    for _ in range(3000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))
+        assert g.features(text)[:8] == pytest.approx(plain_features(text, insults)), text
+
+
+def test_composed_transducers():
+    table, states = toxicity.compose(toxicity.NEGATED, toxicity.QUOTED, toxicity.SAID, toxicity.AIMED)
+    assert states[0] == (0, 0, 0, 0) and len(states) == len(table) == 5 * 2 * 2 * 3
+    for state, row in zip(states, table, strict=True):
+        for symbol, to in enumerate(row):
+            for machine, x, y in zip((toxicity.NEGATED, toxicity.QUOTED, toxicity.SAID, toxicity.AIMED), state, states[to], strict=True):
+                assert y == machine[x].get(symbol, x)
+
+
+def test_a_threat_that_is_negated_or_reported_scores_less(spark):
+    model = ({f"{x}$": 3.0 for x in toxicity.INSULTS}, toxicity.FALLBACK)
+    texts = ["you: I will kill you", "you: I will never kill you", "he said I will kill you"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain, negated, reported = (r.score for r in toxicity.score(docs, model).orderBy("doc_id").collect())
+    assert plain > negated and plain > reported
+
+
+def test_only_copies_of_one_label_count_once(spark):
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    passage = " ".join(word() for _ in range(30))
+    own = [f"{passage} {' '.join(word() for _ in range(200))}" for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(own)] + [(100 + i, own[0]) for i in range(20)] + [(200, own[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 200)) for i, _ in rows], "doc_id long, toxic int").where(~toxicity.held_out(F.col("doc_id")))
+    kept = [(r.label, r.text) for r in toxicity.training_rows(docs, labels).collect()]
+    of = {r.doc_id for r in labels.collect()}
+    assert sorted(kept) == sorted({(int(i == 200), t) for i, t in rows if i in of})
+
+
 def test_threats_and_long_clauses_have_states():
     g = toxicity.Grammar({"idiot$": 3.0})
     threat = lambda t: [x > 0 for x in g.features(t)[4:7]]
