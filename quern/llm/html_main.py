@@ -8,7 +8,8 @@ styles, menus, page headers and footers, sidebars, forms, and elements whose rol
 or id names an advert, a notice, reader comments and the like. A name is a whole word of
 class or id, or, for an element without sections in it or one within an article, the first or
 last part of one. A form or an element with such a role or name that contains an article or
-main is a wrapper and leaves nothing out, save an article's own comments and related articles.
+main is a wrapper and leaves nothing out, save an article's own comments and related articles; nor does a form, menu, sidebar or footer in an article that is never closed,
+as it would take the rest of the article.
 
 The ratios of characters to tags of a page's lines are smoothed by a Gaussian. Regions of
 one container whose text is alike, mostly in links or mostly not, are taken together, and
@@ -19,11 +20,12 @@ short paragraphs, headings and lists of an article stay. Where a page has articl
 elements only those are candidates, and the best region always stays. All lines of a
 selected region are kept, in page order.
 
-One narrow pass, no shuffle; memory is one page's lines.
+One narrow pass, no shuffle; memory is one page's lines, and time grows with lines and regions.
 
 Defined results: a null page counts as empty and gives empty text; a page without tags is
-one line; bytes that are no markup are text; repeated rows give equal rows; other columns
-are ignored.
+one line; pages of any length are read whole; what is no markup is text; of regions with equal
+ratios all count alike, and of equally good ones the first stays for certain; repeated rows give
+equal rows; an empty table gives no row; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +43,9 @@ from ._base import batch, mapped, small_batches, texts
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SECTION = frozenset("article main section div td body html center fieldset details".split())
 _BLOCK = _SECTION | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr th figure figcaption address hr".split())
-_NEVER = frozenset("head title script style noscript template svg math nav footer aside button select textarea iframe object dialog menu audio video canvas".split())
+_NEVER = frozenset("head title script style noscript template svg math button select textarea iframe object dialog menu audio video canvas".split())
+#: Elements that are named by their tag: what they hold is left out if they are closed, or stand outside articles.
+_TAGGED = frozenset("form nav footer aside".split())
 _NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation footer header masthead breadcrumb breadcrumbs "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login paywall share sharing social related recommended recirculation "
@@ -56,8 +60,8 @@ _ROLES = frozenset("navigation banner contentinfo complementary search dialog al
 #: An element of these closes an open paragraph, as pages leave out </p>.
 _CLOSES_P = _BLOCK | frozenset("nav footer aside form header".split())
 
-#: How sure a name is: a part of a word, a whole word or role, an element that is not shown.
-PART, NAME, HIDDEN = 1, 2, 3
+#: How sure a name is: a part of a word, a whole word or role, a tag, an element that is not shown.
+PART, NAME, TAG, HIDDEN = 1, 2, 3, 4
 
 #: Standard deviation, in lines, of the smoothing, and its reach.
 SIGMA, REACH = 1.0, 2
@@ -131,7 +135,7 @@ class Lines(HTMLParser):
         k, met = self.stack[-1][4], 2 if tag in ("article", "main") else 1
         while k and self.named[k][3] < met:
             around, strength, article, _ = self.named[k]
-            if met == 2 or (strength == PART and not article):
+            if strength != TAG and (met == 2 or (strength == PART and not article)):
                 self.named[k][1] = 0
             self.named[k][3] = met
             k = around
@@ -141,7 +145,7 @@ class Lines(HTMLParser):
         if tag in ("html", "body", "article", "main"):
             names = [v for k, v in attrs if k in ("class", "id") and v] if tag == "article" else []
             return HIDDEN if any(x in ("comment", "comments", "ad", "advert", "advertisement") for v in names for x in re.split(r"[^a-z0-9]+", v.lower())) else 0
-        found = NAME if tag == "form" else 0
+        found = NAME if tag == "form" else TAG if tag in _TAGGED else 0
         for k, v in attrs:
             if not v:
                 if k == "hidden":
@@ -173,6 +177,7 @@ class Lines(HTMLParser):
                 if not self.stack[-1][1]:
                     self.cut()
                 # text that an element leaves out never got in
+                self._unclosed(k + 1)
                 del self.stack[k:]
                 if k < self.link:
                     self.link = 0
@@ -180,6 +185,13 @@ class Lines(HTMLParser):
         if tag == "p" and not self.stack[-1][1]:
             self.cut()
 
+    def _unclosed(self, k) -> None:
+        """Of open elements from ``k`` on, which end with the one around them, those that are
+        named by their tag hold the rest of their article, so they leave nothing out."""
+        for (tag, *_, name), (*_, around) in zip(self.stack[k:], self.stack[k - 1 :], strict=False):
+            if tag in _TAGGED and name != around and self.named[name][2]:
+                self.named[name][1] = 0
+
     def handle_data(self, data):
         if not self.stack[-1][1]:
             self.parts.append(data)
@@ -190,6 +202,7 @@ class Lines(HTMLParser):
         self.feed(html)
         self.close()
         self.cut()
+        self._unclosed(1)
         out = [False]  # an element stands after the one around it
         for around, strength, *_ in self.named[1:]:
             out.append(out[around] or strength > 0)

@@ -539,10 +539,75 @@ def test_sections_of_one_text_stay_together():
         assert html_main.main_text(f"<body>{page}</body>") == want
 
 
+def test_unclosed_elements_end_with_their_article():
+    main = html_main.main_text
+    for tag in ("form", "aside", "nav", "footer"):
+        assert main(f"<body><article><p>One.</p><{tag}><b>x</b><p>Two.</p></article><div>Buy this</div></body>").startswith("One.\n\nx\n\nTwo."), tag
+        assert main(f"<article><p>One.</p><{tag}>x</{tag}><p>Two.</p></article>") == "One.\n\nTwo.", tag
+        assert main(f"<article><p>One.</p><{tag}>x<p>Two.</p>") == "One.\n\nx\n\nTwo.", tag
+    assert main("<body><nav><a href=/>Home</a><main><p>One.</p></main></body>") == ""  # a menu is no wrapper
+    assert main("<article><p>One.</p></article><aside><article>Teaser</article></aside>") == "One."
+
+
+def test_titles_of_articles_stay():
+    for head in ('<header class="entry-header"><h1>Title</h1></header>', '<div class="article-header"><h1>Title</h1></div>', '<header><div class="page-header"><h1>Title</h1></div></header>'):
+        assert html_main.main_text(f"<body><header>Site</header><article>{head}<p>Some text.</p></article></body>") == "Title\n\nSome text."
+
+
+def plain_selection(page):
+    """What is kept of a page's lines, told again with dictionaries."""
+    lines = page.lines_kept
+    if not lines:
+        return []
+    ratio = [x[1] / x[2] for x in lines]
+    w = [np.exp(-0.5 * (k / html_main.SIGMA) ** 2) for k in range(-html_main.REACH, html_main.REACH + 1)]
+    smooth = []
+    for i in range(len(lines)):
+        near = [(w[k + html_main.REACH], ratio[i + k]) for k in range(-html_main.REACH, html_main.REACH + 1) if 0 <= i + k < len(lines)]
+        smooth.append(sum(a * b for a, b in near) / sum(a for a, _ in near))
+    pool = [i for i, x in enumerate(lines) if x[4]] or list(range(len(lines)))
+    size, links = collections.Counter(), collections.Counter()
+    for i in pool:
+        size[lines[i][3]] += lines[i][1]
+        links[lines[i][3]] += lines[i][6]
+    group = {r: (page.around[r], links[r] >= html_main.MENU * size[r]) for r in size}
+    of = collections.defaultdict(list)
+    for i in pool:
+        of[group[lines[i][3]]].append(i)
+    score = {g: sum(lines[i][1] * smooth[i] for i in m) / sum(lines[i][1] for i in m) for g, m in of.items()}
+    cut = html_main.threshold(np.array([score[g] for g in sorted(score)]))
+    best = max(sorted(score), key=lambda g: score[g] * sum(lines[i][1] for i in of[g]) ** 0.5)
+    keep = {g for g in of if score[g] >= cut or not g[1] or g == best}
+    return [lines[i][0] for i in pool if group[lines[i][3]] in keep]
+
+
+@needs_data
+def test_selection_equals_brute_force(spark):
+    rng = random.Random(5)
+    pages = [r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randint(1, 12)):
+            body = " ".join("word" * rng.randint(1, 3) for _ in range(rng.randint(1, 30)))
+            parts.append(rng.choice([f"<p>{body}</p>", f"<div>{body}</div>", f"<div><div><a href=/>{body}</a></div></div>", f"<article>{body}</article>", f"<td>{body}", "<ul><li><a>x</a><li><a>y</a></ul>", f"<center><p>{body}<p>{body}</center>"]))
+        pages.append(f"<body>{''.join(parts)}</body>")
+    for html in pages:
+        page = html_main.Lines()
+        page.lines_kept = page.read(html or "")
+        assert html_main.main_text(html or "") == "\n\n".join(plain_selection(page))
+
+
+def test_pages_with_many_regions():
+    began = time.process_time()
+    text = html_main.main_text("<body>" + "".join(f"<div><p>Line {i} of many.</p></div>" for i in range(100_000)) + "</body>")
+    assert text.count("\n\n") == 99_999 and time.process_time() - began < 40
+
+
 def test_main_text_of_odd_pages(spark):
-    rows = [(1, "u", None), (2, None, ""), (3, "u", "no markup & all"), (4, "u", "<p>" * 3000 + "deep"), (5, "u", "<article></article>"), (None, "u", "<p>a" * 2), (6, "u", "<![x<!doctype <<p")]
+    rows = [(1, "u", None), (2, None, ""), (3, "u", "no markup & all"), (4, "u", "<p>" * 3000 + "deep"), (5, "u", "<article></article>"), (None, "u", "<p>a" * 2), (6, "u", "<![x<!doctype <<p"), (7, "u", "<p>twice</p>"), (7, "u", "<p>twice</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = {r.page_id: (r.text, r.n_chars) for r in html_main.extract(df).collect()}
+    assert html_main.extract(df).where("page_id = 7 and text = 'twice'").count() == 2
     assert got[1] == got[2] == got[5] == ("", 0) and got[3] == ("no markup & all", 15) and got[4] == ("deep", 4) and got[None] == ("a\n\na", 4)
     assert html_main.extract(empty(df)).count() == 0
 
