@@ -18,9 +18,11 @@ Weights, vocabulary and templates are constants of the expression, of a size tha
 the templates fix. Scanning is one narrow pass of built-in functions, without a
 shuffle, and only lines and windows with a word of ``GATE`` are scored.
 
-Defined results: a null text counts as empty; no paragraph gives family ``none``; of several
-families the one of the most confirmed lines and paragraphs counts, then the first by name; repeated
-rows give equal rows; other columns are ignored.
+Defined results: a null text counts as empty; texts, lines and paragraphs of any length are read
+whole; no paragraph gives family ``none``; of several families the one of the most confirmed
+lines and paragraphs counts, then the first by name; repeated rows give equal rows; an empty
+table gives no row; other columns, whatever their names, are ignored. A licence outside these
+families, and a notice that holds less than ``CONFIRM`` of all templates, is not found.
 """
 
 from __future__ import annotations
@@ -40,18 +42,21 @@ WIDE = 64
 
 #: Notices of public licences, by family; digits read as 0 (fixed values).
 TEMPLATES = {
-    "agpl": ("licensed under the gnu affero general public license version 0", "this program is free software under the gnu affero general public license"),
-    "apache": ("licensed under the apache license version 0.0", "released under the apache license 0.0", "you may not use this file except in compliance with the license"),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", "released under the bsd license", "licensed under the 0 clause bsd license"),
-    "cc0": ("to the extent possible under law the author has waived all copyright", "released under cc0 0.0 universal public domain dedication"),
-    "cc_by": ("licensed under cc by 0.0", "licensed under a creative commons attribution 0.0 international license"),
-    "cc_by_nc": ("licensed under cc by nc 0.0", "licensed under a creative commons attribution noncommercial 0.0 international license"),
-    "cc_by_sa": ("licensed under cc by sa 0.0", "licensed under a creative commons attribution sharealike 0.0 international license"),
-    "gpl": ("this work is licensed under the gnu general public license version 0", "you can redistribute it and or modify it under the terms of the gnu general public license", "released under the gnu general public license"),
-    "lgpl": ("licensed under the gnu lesser general public license version 0", "under the terms of the gnu lesser general public license"),
-    "mit": ("released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    "mpl": ("subject to the terms of the mozilla public license v 0.0", "licensed under the mozilla public license version 0.0"),
+    "agpl": ("licensed under the gnu affero general public license version 0", "this program is free software under the gnu affero general public license", "spdx license identifier agpl 0"),
+    "apache": ("licensed under the apache license version 0.0", "released under the apache license 0.0", "you may not use this file except in compliance with the license", "spdx license identifier apache 0"),
+    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", "released under the bsd license", "licensed under the 0 clause bsd license", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "spdx license identifier bsd 0 clause"),
+    "cc0": ("to the extent possible under law the author has waived all copyright", "released under cc0 0.0 universal public domain dedication", "spdx license identifier cc0 0"),
+    "cc_by": ("licensed under cc by 0.0", "licensed under a creative commons attribution 0.0 international license", "spdx license identifier cc by 0"),
+    "cc_by_nc": ("licensed under cc by nc 0.0", "licensed under a creative commons attribution noncommercial 0.0 international license", "spdx license identifier cc by nc 0"),
+    "cc_by_sa": ("licensed under cc by sa 0.0", "licensed under a creative commons attribution sharealike 0.0 international license", "spdx license identifier cc by sa 0"),
+    "epl": ("licensed under the eclipse public license version 0.0", "made available under the terms of the eclipse public license v 0.0", "spdx license identifier epl 0"),
+    "gpl": ("this work is licensed under the gnu general public license version 0", "you can redistribute it and or modify it under the terms of the gnu general public license", "released under the gnu general public license", "spdx license identifier gpl 0"),
+    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "released under the isc license", "spdx license identifier isc license"),
+    "lgpl": ("licensed under the gnu lesser general public license version 0", "under the terms of the gnu lesser general public license", "spdx license identifier lgpl 0"),
+    "mit": ("released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "spdx license identifier mit license"),
+    "mpl": ("subject to the terms of the mozilla public license v 0.0", "licensed under the mozilla public license version 0.0", "spdx license identifier mpl 0"),
     "proprietary": ("all rights reserved", "copyright 0 all rights reserved no part may be reproduced without permission"),
+    "unlicense": ("this is free and unencumbered software released into the public domain", "released under the unlicense", "spdx license identifier unlicense license"),
 }
 FAMILIES = ("unknown", *sorted(TEMPLATES))
 _OTHER = ("the driver lost his license last week", "with your permission we will start", "copyright law was debated in court", "a poetic licence of the author", "the fishing license costs 0 euros", "he asked for permission to leave", "the license plate of the car", "they were permitted to enter", "license fees rose by 0 percent", "the general public was not permitted inside", "version 0.0 of the report was released under pressure")
@@ -66,7 +71,7 @@ def words_of(paragraph: str) -> list[str]:
 
 
 #: Words of templates that are too frequent elsewhere to select by, if there are others.
-_PLAIN = frozenset("all author charge copy file free general in is it law may mit part public software terms under use version without work".split())
+_PLAIN = frozenset("all author be code charge conditions copy file following free general in is it law may mit part public software terms under use version without work".split())
 
 
 def gate() -> list[str]:

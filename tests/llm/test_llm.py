@@ -645,6 +645,49 @@ def test_licenses_wrapped_over_lines(spark, model):
     assert got == [(x, n) for _, x, n in rows]
 
 
+#: Notices as their licences and files word them, not made by the generator, and lines that are none.
+NOTICES = [
+    ("// SPDX-License-Identifier: MIT", "mit"), ("# SPDX-License-Identifier: GPL-2.0-only", "gpl"), ("/* SPDX-License-Identifier: Apache-2.0 */", "apache"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl"),
+    ("SPDX-License-Identifier: CC-BY-SA-4.0", "cc_by_sa"), ("SPDX-License-Identifier: CC0-1.0", "cc0"), ("SPDX-License-Identifier: ISC", "isc"), ("SPDX-License-Identifier: MPL-2.0", "mpl"), ("SPDX-License-Identifier: Zlib", "none"), ("SPDX-License-Identifier: WTFPL", "none"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights", "mit"),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at", "apache"),
+    ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or", "gpl"),
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either", "lgpl"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at", "mpl"),
+    ("Redistributions of source code must retain the above copyright notice, this\nlist of conditions and the following disclaimer.", "bsd"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above", "isc"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("All content is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc_by_sa"), ("Text licensed under CC BY 4.0.", "cc_by"), ("To the extent possible under law, the author has waived all copyright and related rights", "cc0"),
+    ("(c) 2019 Some Company. All rights reserved.", "proprietary"), ("This program and the accompanying materials are made available under the\nterms of the Eclipse Public License v2.0", "epl"),
+    ("The general said that the public license debate was over.", "none"), ("Her driving license was issued under the old version of the law.", "none"), ("The band released a new record under the Apache name.", "none"), ("Source code of the program was published by the foundation.", "none"), ("You may use the file for any purpose.", "none"), ("Permission to enter is granted to any person with a ticket.", "none"),
+]
+
+
+def test_notices_written_elsewhere(spark, model):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NOTICES)], "doc_id long, text string")
+    got = [r.license for r in license_scan.scan(df, model).orderBy("doc_id").collect()]
+    wrong = [(t, x, y) for (t, x), y in zip(NOTICES, got, strict=True) if x != y]
+    assert len(wrong) <= 1, wrong
+    assert not [w for w in wrong if w[1] == "none"], wrong
+
+
+def test_expression_equals_the_model(spark, model):
+    """Families and chances of single lines, computed from the weights in numpy."""
+    vocabulary, w, b = model
+    at, rng = {g: i for i, g in enumerate(vocabulary)}, random.Random(14)
+    lines = [" ".join(words) for words, _ in license_scan._paragraphs(31, 2)] + [t for t, _ in NOTICES if "\n" not in t]
+    lines += [" ".join(rng.choice(vocabulary).split()[0] for _ in range(rng.randint(1, 30))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    for r, line in zip(license_scan.scan(df, model).orderBy("doc_id").collect(), lines, strict=True):
+        words = license_scan.words_of(line)
+        z = b + w[:, sorted({at[g] for g in license_scan.grams(words) if g in at})].sum(1)
+        chance = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        k, pairs = int(z.argmax()), {" ".join(words[i : i + 2]) for i in range(len(words) - 1)}
+        of = [[" ".join(u[i : i + 2]) for i in range(len(u) - 1)] for u in map(license_scan.words_of, license_scan.TEMPLATES.get(license_scan.FAMILIES[k], ()))]
+        sure = not set(words).isdisjoint(license_scan.GATE) and chance[k] >= license_scan.CHANCE and any(len(pairs.intersection(p)) >= len(p) * license_scan.CONFIRM for p in of)
+        assert (r.license, r.chance) == ((license_scan.FAMILIES[k], pytest.approx(chance[k], abs=2e-6)) if sure else ("none", 0.0)), line
+
+
 def test_gate_loses_no_confirmed_text():
     for t in (t for ts in license_scan.TEMPLATES.values() for t in ts):
         words = license_scan.words_of(t)
