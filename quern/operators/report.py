@@ -120,3 +120,13 @@ def score(decisions: DataFrame, truth: DataFrame) -> DataFrame:
     from .metrics import report_metrics
 
     return report_metrics(join_one_to_one(decisions.select("genome_id", "drug", "call"), truth.select("genome_id", "drug", "y"), ["genome_id", "drug"]), ["drug"])
+
+
+def decision_of(decisions: Column, drug) -> Column:
+    """A report's decision on a drug, or its first one."""
+    return F.coalesce(F.get(F.filter(decisions, lambda x: x["drug"] == drug), F.lit(0)), F.get(decisions, F.lit(0)))
+
+
+def public(bundle: DataFrame) -> DataFrame:
+    """What is told of a bundle's models: all but the features, which make long rows."""
+    return bundle.drop("feature_columns", "coefficients", "platt")

@@ -54,3 +54,27 @@ def fetch(requests: DataFrame, key: str, url: str, folder: str, at_once: int = 1
 
     some = requests.select(F.col(key).cast("string").alias("key"), F.col(url).alias("url")).dropDuplicates(["key"]).repartition(at_once)
     return some.mapInPandas(run, "key string, path string, bytes long, sha256 string, error string").withColumnRenamed("key", key)
+
+
+def metadata(requests: DataFrame, key: str, url: str, schema: str, at_once: int = 12, timeout: float = 60.0) -> DataFrame:
+    """(key, metadata, error): the JSON document at each address, read by ``schema``; errors are rows."""
+
+    def run(batches):
+        import urllib.request
+
+        import pandas as pd
+
+        for frame in batches:
+            rows = []
+            for k, u in zip(frame["key"], frame["url"], strict=True):
+                try:
+                    ask = urllib.request.Request(u, headers={"Accept": "application/json"}) if u.startswith("http") else u
+                    with urllib.request.urlopen(ask, timeout=timeout) as source:
+                        rows.append((k, source.read().decode("utf-8"), ""))
+                except Exception as e:  # noqa: BLE001 - an error is a result here
+                    rows.append((k, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["key", "body", "error"])
+
+    some = requests.select(F.col(key).cast("string").alias("key"), F.col(url).alias("url")).dropDuplicates(["key"]).repartition(at_once)
+    got = some.mapInPandas(run, "key string, body string, error string")
+    return got.select(F.col("key").alias(key), F.from_json("body", schema).alias("metadata"), "error")

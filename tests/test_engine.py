@@ -495,3 +495,39 @@ def test_smaller_functions(spark):
     df = spark.createDataFrame([({"a": "1"}, "éa b", 0.12345, 5.0)], "m map<string, string>, t string, v double, x double")
     row = df.select(C.metadata(F.col("m"), "a"), C.metadata(F.col("m"), "b", "-"), C.first_upper(F.col("t")), C.rounded(F.col("v")), C.on_scale(F.col("x"), 0, 10, 100, 200)).first()
     assert tuple(row) == ("1", "-", "Éa b", 0.1234, 150.0)
+
+
+def test_metadata_and_lookups(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"species": "Aus bus", "taxon_id": 7}')
+    asked = spark.createDataFrame([("1.1", f"file://{tmp_path}/m.json"), ("1.2", f"file://{tmp_path}/none")], "genome_id string, url string")
+    got = {r.genome_id: r for r in remote.metadata(asked, "genome_id", "url", "species string, taxon_id long").collect()}
+    assert tuple(got["1.1"].metadata) == ("Aus bus", 7) and got["1.2"].metadata is None and got["1.2"].error
+    df = spark.createDataFrame([([("a", 1), ("b", 2)],)], "d array<struct<drug: string, n: int>>")
+    assert [tuple(x) for x in df.select(report.decision_of(F.col("d"), "b"), report.decision_of(F.col("d"), "z")).first()] == [("b", 2), ("a", 1)]
+    assert report.public(spark.createDataFrame([], training._MODELS)).columns == ["schema_version", "drug", "digest", "calibration_status", "lower", "upper", "novelty_floor"]
+
+
+def test_commands_from_observations_to_predictions(spark, tmp_path):
+    from quern.__main__ import main
+
+    rng = random.Random(8)
+    n, at = 60, str(tmp_path)
+    (tmp_path / "fna").mkdir()
+    for i in range(n):
+        (tmp_path / f"fna/{i}.1.fna").write_text(">c\n" + "".join(rng.choice("ACGT") for _ in range(300)) + "\n")
+    spark.createDataFrame([(f"{i}.1", "d", "Resistant" if i % 2 else "Susceptible") for i in range(n)], "genome_id string, drug string, label string").write.parquet(f"{at}/labels")
+    spark.createDataFrame([(f"{i}.1", i % 2, i % 3) for i in range(n)], "genome_id string, x int, y2 int").write.parquet(f"{at}/features")
+    run = lambda *a: main([str(x) for x in a], spark)
+    run("audit", f"{at}/labels", f"{at}/audit.csv")
+    run("summarize", f"{at}/labels")
+    run("select", f"{at}/labels", f"{at}/cohort", "--floor", 5, "--cap", n)
+    run("qc", f"{at}/fna", f"{at}/qc", "--minimum-length", 10, "--minimum-n50", 10)
+    run("split", f"{at}/fna", f"{at}/split", "--k", 11, "--scaled", 4)
+    run("support", f"{at}/labels", f"{at}/split/splits", f"{at}/support.csv")
+    run("train", f"{at}/cohort/labels", f"{at}/features", f"{at}/split/splits", f"{at}/bundle", "--least", 3)
+    run("lineage", f"{at}/split/sketches", f"{at}/split/splits", f"{at}/split/sketches", f"{at}/lineage", "--k", 11)
+    run("predict", f"{at}/features", f"{at}/bundle", f"{at}/predictions")
+    assert spark.read.parquet(f"{at}/qc/qc").where("genome_length = 300 and contigs = 1").count() == n
+    assert {r.split: r["count"] for r in spark.read.parquet(f"{at}/split/splits").groupBy("split").count().collect()} == {"train": 42, "calibration": 9, "test": 9}
+    assert spark.read.parquet(f"{at}/predictions").where("(p > 0.5) = (cast(split(genome_id, '[.]')[0] as int) % 2 = 1)").count() == n
+    assert spark.read.parquet(f"{at}/lineage").count() == n
