@@ -11,8 +11,10 @@ block (quantiser 8, so the thumbnail's sample is the byte itself) with no AC coe
 rows of 576 blocks are restart segments. A payload of more rows than an image can have is a
 sequence of images. So payloads come back without loss by decoding alone.
 
-Defined results: a null text counts as empty and gives one row of padding; equal texts give
-equal media; media that are no baseline JPEG raise ValueError; nothing is shuffled.
+Defined results: a null text counts as empty and gives one row of padding; a text of any length
+is stored whole, as several images if need be; equal texts and repeated rows give equal media; an
+empty table gives no row; other columns, whatever their names, are ignored; media that are no
+baseline JPEG raise ValueError; nothing is shuffled.
 """
 
 from __future__ import annotations

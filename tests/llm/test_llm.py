@@ -242,6 +242,32 @@ def test_jpeg_with_coefficients_and_colour():
     assert (light == np.clip((grid * 4 + 4) // 8 + 128, 0, 255)).all()
 
 
+def plain_hash(light):
+    """Areas from place to place, told again with loops."""
+    edges = lambda n: [int(k * n / 8) for k in range(9)] if n >= 8 else None
+    down, across = edges(light.shape[0]), edges(light.shape[1])
+    x = light.astype(int)
+    rows = [[sum(int(v) for v in x[down[i] : down[i + 1], c]) * 1000 // (down[i + 1] - down[i]) for c in range(x.shape[1])] if down else [int(v) * 1000 for v in x[i * x.shape[0] // 8]] for i in range(8)]
+    areas = [[sum(r[across[j] : across[j + 1]]) // (across[j + 1] - across[j]) if across else r[j * x.shape[1] // 8] for j in range(8)] for r in rows]
+    flat = [v for r in areas for v in r]
+    return f"{int(''.join('1' if 64 * v > sum(flat) else '0' for v in flat), 2):016x}"
+
+
+def test_features_of_stored_texts(spark):
+    rng = np.random.default_rng(6)
+    for shape in ((1, 576), (3, 576), (8, 8), (9, 17), (40, 576), (5, 5)):
+        light = rng.integers(0, 256, shape).astype(np.uint8)
+        assert media.average_hash(light) == plain_hash(light)
+    texts = ["", "short", "x" * 577, "".join(map(chr, rng.integers(32, 500, 30000)))]
+    stored = media.store_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    by = {r.doc_id: r for r in stored.collect()}
+    for r in media.read_features(stored).collect():
+        data, payload = bytes(by[r.doc_id].media), media.payload_of(texts[r.doc_id])[1]
+        light = np.frombuffer(payload, np.uint8).reshape(-1, 576)
+        assert (r.media_bytes, r.media_sha256) == (len(data), hashlib.sha256(data).hexdigest())
+        assert r.feature == f"{r.width}x{r.height}:{plain_hash(light)}" and (r.width, r.height) == (8 * 576, 8 * len(light))
+
+
 def test_media_of_odd_input(odd):
     texts = {r.n_chars: r.text or "" for r in odd.collect()}
     got = media.read_features(media.store_texts(odd)).collect()
@@ -847,11 +873,80 @@ def test_pipeline(spark, docs):
         if name == "exact_dedup":
             texts = [re.sub(r"[\x20\x09-\x0D]+", " ", r.text) for r in frame.collect()]
             assert len(set(texts)) == len(texts) and set(texts) == {re.sub(r"[\x20\x09-\x0D]+", " ", r.text) for r in before.collect()}
+        if name == "toxicity":
+            lexicon, weights = toxicity.train(before, spark.read.parquet(f"{DATA}/labels.parquet"))
+            g = toxicity.Grammar(lexicon)
+            chance = lambda t: 1 / (1 + np.exp(-(weights[0] + np.dot(weights[1:], g.features(t)))))
+            assert {r.doc_id for r in frame.collect()} == {r.doc_id for r in before.collect() if round(chance(r.text), 9) < 0.5}
+        if name == "mix_sources":
+            check_mix(before.collect(), frame.collect())
         if name == "ngram_jaccard_join":
             want = linked([(r.doc_id, r.text) for r in before.collect()])
             assert {r.doc_id for r in frame.collect()} == {i for i, (_, c) in want.items() if i == c}
         if name == "bpe":
-            assert frame.count() == before.count()
+            library = Tokenizer.from_file(PATH)
+            want = collections.Counter((r.doc_id, tuple(library.encode(r.text, add_special_tokens=False).ids)) for r in before.collect())
+            assert collections.Counter((r.doc_id, tuple(r.ids)) for r in frame.collect()) == want
+
+
+def check_mix(before, after):
+    """Targets by plain water-filling; each document whole once or twice, and its first words at most once more."""
+    size, of = collections.Counter(), {r.doc_id: r for r in before}
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    for r in before:
+        size[r.source] += count(r.text)
+    sources = sorted(size, key=lambda s: (s is None, s))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sources)}
+    want, full, target = 1.5 * sum(size.values()), set(), {}
+    while True:
+        open_ = [s for s in sources if s not in full]
+        rest = want - sum(2 * size[s] for s in full)
+        target = {s: 2 * size[s] if s in full else rest * weight[s] / sum(weight[x] for x in open_) for s in sources}
+        over = {s for s in open_ if target[s] > 2 * size[s]}
+        if not over:
+            break
+        full |= over
+    taken, rows = collections.Counter(), collections.defaultdict(list)
+    for r in after:
+        taken[r.source] += count(r.text)
+        rows[r.doc_id].append(r)
+    assert all(abs(taken[s] - target[s]) <= 3 for s in sources), (taken, target)
+    for i, some in rows.items():
+        parts = [r for r in some if r.text != of[i].text]
+        assert len(some) <= 2 and len(parts) <= 1 and all(of[i].text.startswith(r.text) and r.n_chars == len(r.text) for r in parts)
+
+
+def test_workers_forget_what_other_operators_kept():
+    from quern.llm import _base
+
+    _base.begin_task("one")
+    _base.worker_cache("one")["x"] = 1
+    _base.begin_task("one")
+    assert _base.worker_cache("one") == {"x": 1}
+    _base.begin_task("two")
+    assert _base.worker_cache("one") == {}
+    _base.begin_task("none")
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    """By number, and by bytes as each is of bounded length."""
+    monkeypatch.setattr(bpe, "CACHE", 500), monkeypatch.setattr(bpe, "FRAGMENTS", 200), monkeypatch.setattr(token_store, "CACHE", 400)
+    rng, own, store = random.Random(1), bpe.ByteBPE(PATH), token_store.Encoder(PATH)
+    for _ in range(60):
+        texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 90))) for _ in range(100)) for _ in range(2)]
+        assert [own.encode(t).tolist() for t in texts] == [x.tolist() for x in store.encode(texts)]
+        assert len(own.words) <= 500 and len(own.old) <= 500 and len(own.fragments) <= 200 and len(own.first) <= 50 and len(store.pieces) <= 400
+    assert max(map(len, (*own.words, *own.old, *own.fragments, *own.first))) <= 64
+
+
+def test_tables_go_when_nothing_reads_them(spark):
+    from quern.llm import _base
+
+    one, two = stash(spark.range(3), "one"), stash(spark.range(4), "two")
+    _base.discard(one, two.where("id > 1"))
+    assert two.count() == 4 and one._quern_path not in _base._written and two._quern_path in _base._written
+    with pytest.raises(Exception):
+        one.count()
 
 
 def test_stages_of_an_empty_table(spark, tmp_path, odd):
