@@ -216,7 +216,7 @@ _CELL = 1 << _CELL_BITS
 _BUCKETS, _MOST = 44, 1 << 21
 #: Places of the tables of orders 1 and 2, in a lane, and contexts of the mixed chance: the two
 #: guesses' sureness, whether they are the same, and how the last id was coded.
-_ONE, _TWO, _CONTEXTS = 512, 1024, 96
+_ONE, _TWO, _CONTEXTS = 256, 256, 96
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -503,21 +503,25 @@ class _Models:
         up = self.count.cumsum(dtype=np.int32)
         begin = np.r_[np.int32(0), up][self.first]
         scale = ((1 << _ID_BITS) - self.sizes) / (up[self.end - 1] - begin)
-        self.cum = ((up - self.count - np.repeat(begin, self.sizes)) * np.repeat(scale, self.sizes)).astype(np.int32) + self.place
-        self.high = np.append(self.cum[1:], np.int32(0))
-        self.high[self.end - 1] = 1 << _ID_BITS
-        cover = (self.high + (_CELL - 1) >> _CELL_BITS) - (self.cum + (_CELL - 1) >> _CELL_BITS)
-        #: The place in which each cell of a lane's frequencies begins.
-        self.cell = np.repeat(np.arange(len(self.high), dtype=np.int32), cover)
-
-    def find(self, lane: np.ndarray, want: np.ndarray) -> np.ndarray:
-        """The place of each lane whose frequencies hold ``want``."""
-        place = self.cell.take(self.cells[lane] + (want >> _CELL_BITS))
-        far = (self.high.take(place) <= want).nonzero()[0]
+        low = ((up - self.count - np.repeat(begin, self.sizes)) * np.repeat(scale, self.sizes)).astype(np.int32) + self.place
+        high = np.append(low[1:], np.int32(0))
+        high[self.end - 1] = 1 << _ID_BITS
+        cover = (high + (_CELL - 1) >> _CELL_BITS) - (low + (_CELL - 1) >> _CELL_BITS)
+        #: The place, in its lane, in which each cell of a lane's frequencies begins.
+        self.cell = np.repeat(np.arange(len(high), dtype=np.int32), cover)
+        self.cum, self.high = low, high
+
+    def find(self, on: int, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each lane whose frequencies hold ``want``, and where they end."""
+        place = self.cell.take((want >> _CELL_BITS) + self.cells[:on])
+        high = self.high.take(place)
+        far = (high <= want).nonzero()[0]
         while far.size:
-            place[far] += 1
-            far = far[self.high.take(place[far]) <= want[far]]
-        return place
+            next_ = place[far] + 1
+            place[far] = next_
+            ends = high[far] = self.high.take(next_)
+            far = far[ends <= want[far]]
+        return place, high
 
     def contexts(self, held: np.ndarray, last: np.ndarray) -> np.ndarray:
         """The context of each look-up; ``last`` is the lane's base and 32 times the last event."""
@@ -576,27 +580,33 @@ def _decode_places(coded: list[bytes], length: np.ndarray, sizes: np.ndarray) ->
             m.refresh()
         context, event = np.empty((until - t, on), np.int64), np.full((until - t, on), 2, np.int64)
         found, plain = np.empty((until - t, on), np.int64), m.base[:on] + 64
-        last, start, size = last[:on], np.empty(on, _U), np.empty(on, _U)
+        last = last[:on]
         for k in range(until - t):
             at, held = m.look(on)
             c, x, f = m.contexts(held, last), found[k], r.peek(on)
             context[k] = c
+            # as if neither guess held; where one does, what comes of it is written over
             both, last = m.share_both.take(c), plain.copy()
-            rest = f >= both
-            if (g := (~rest).nonzero()[0]).size:
-                two = m.share_two.take(c[g])
+            unit = _FULL - both
+            unit >>= _ID_SHARE
+            want = f - both
+            want //= unit
+            place, high = m.find(on, np.minimum(want, top).astype(np.int64))
+            low = m.cum.take(place)
+            high -= low
+            size = high.astype(_U)
+            size *= unit
+            start = low.astype(_U)
+            start *= unit
+            start += both
+            np.subtract(place, m.first[:on], out=x)
+            if (g := (f < both).nonzero()[0]).size:
+                two, most = m.share_two.take(c[g]), both[g]
                 second = f[g] >= two
-                start[g], size[g] = two * second, np.where(second, both[g] - two, two)
+                start[g], size[g] = two * second, np.where(second, most - two, two)
                 x[g] = held[1 - second, g] >> 4
                 event[k, g] = second
                 last[g] += 32 * (second - np.int64(2))
-            if (g := rest.nonzero()[0]).size:
-                behind = both[g]
-                unit = (_FULL - behind) >> _ID_SHARE
-                place = m.find(g, np.minimum((f[g] - behind) // unit, top).astype(np.int64))
-                low = m.cum.take(place)
-                start[g], size[g] = behind + unit * low.astype(_U), unit * (m.high.take(place) - low).astype(_U)
-                x[g] = place - m.first[g]
             r.take(on, start, size)
             m.learn(x, at, held)
         ids[t:until, :on] = found
