@@ -22,9 +22,14 @@ class Cleaned:
     excluded: DataFrame
 
 
-def of_species(source: DataFrame, species: str, taxon: str, evidence: str, name="Genome Name", taxon_id="Taxon ID", kind="Evidence") -> DataFrame:
-    """Rows of one species (name and a space), taxon (as text) and kind of evidence."""
-    return source.where(F.col(name).startswith(species + " ") & (F.col(taxon_id) == taxon) & (F.lower(strip(F.col(kind))) == evidence.lower()))
+def of_species(source: DataFrame, species: str, taxon: str, evidence: str, name="Genome Name", taxon_id="Taxon ID", kind="Evidence", exact: bool = False) -> DataFrame:
+    """Rows of one species (name and a space), taxon (as text) and kind of evidence.
+
+    An audit reads the kind without regard to case and white space around it; cleaning
+    (``exact``) takes it as it is written.
+    """
+    same = F.col(kind) == evidence if exact else F.lower(strip(F.col(kind))) == evidence.lower()
+    return source.where(F.col(name).startswith(species + " ") & (F.col(taxon_id) == taxon) & same)
 
 
 def excluded_counts(rows: DataFrame, drug: str, label: str, drugs: list[str] | None) -> DataFrame:

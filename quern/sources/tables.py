@@ -48,9 +48,12 @@ def blast_hits(spark: SparkSession, path) -> DataFrame:
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
-    """The drug registry, a small TOML file on the driver, as rows."""
+    """The drug registry, a small TOML file on the driver, as rows; it has the parts ``registry`` and ``drugs``."""
     with open(path, "rb") as f:
-        drugs = tomllib.load(f).get("drugs", {})
+        whole = tomllib.load(f)
+    if not {"registry", "drugs"} <= set(whole):
+        raise ValueError("a drug registry has the parts registry and drugs")
+    drugs = whole["drugs"]
     rows = [(k, v.get("target_label", ""), v.get("target_probe_kind", ""), list(v.get("target_symbols", [])), list(v.get("resistance_terms", [])), int(v.get("minimum_targets_detected", 1))) for k, v in sorted(drugs.items())]
     return spark.createDataFrame(rows, "drug string, target_label string, target_probe_kind string, target_symbols array<string>, resistance_terms array<string>, minimum_targets_detected int")
 

@@ -45,6 +45,7 @@ def test_mutation_keys_split_at_the_first_mark(spark):
 def test_species_needs_its_space(spark):
     df = spark.createDataFrame([("Aus bus x", "1", " Laboratory Method "), ("Aus bus", "1", "laboratory method"), ("Aus bus y", "2", "laboratory method")], "`Genome Name` string, `Taxon ID` string, Evidence string")
     assert cohort.of_species(df, "Aus bus", "1", "Laboratory Method").count() == 1
+    assert cohort.of_species(df, "Aus bus", "1", "Laboratory Method", exact=True).count() == 0
 
 
 def test_labels_summary(spark):
@@ -477,7 +478,10 @@ def test_readers_of_other_formats(spark, tmp_path):
     (tmp_path / "r/deep").mkdir(parents=True)
     (tmp_path / "r/deep/1.report.json").write_text('{"genome_id": "1.10", "decisions": [{"drug": "d"}]}')
     assert [r.genome_id for r in tables.reports(spark, str(tmp_path / "r"), "genome_id string, decisions array<struct<drug: string>>").collect()] == ["1.10"]
-    (tmp_path / "reg.toml").write_text('[drugs.d]\ntarget_label = "T"\ntarget_probe_kind = "protein"\ntarget_symbols = ["gyrA"]\nresistance_terms = ["X"]\nminimum_targets_detected = 2\n')
+    (tmp_path / "half.toml").write_text("[drugs.d]\n")
+    with pytest.raises(ValueError):
+        tables.registry(spark, str(tmp_path / "half.toml"))
+    (tmp_path / "reg.toml").write_text('[registry]\nversion = 1\n[drugs.d]\ntarget_label = "T"\ntarget_probe_kind = "protein"\ntarget_symbols = ["gyrA"]\nresistance_terms = ["X"]\nminimum_targets_detected = 2\n')
     assert tuple(tables.registry(spark, str(tmp_path / "reg.toml")).first()) == ("d", "T", "protein", ["gyrA"], ["X"], 2)
     tables.write_documents(spark.createDataFrame([(1, [(2, (3, 4))])], "b int, a array<struct<z: int, c: struct<y: int, x: int>>>"), str(tmp_path / "docs"))
     assert [r.value for r in spark.read.text(str(tmp_path / "docs")).collect()] == ['{"a":[{"c":{"x":4,"y":3},"z":2}],"b":1}']
