@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quern.llm import bpe, catalog, exact_dedup, html_main, license_scan, media, mixing, secret_scan, shingle_join, token_store, toxicity
-from quern.llm._base import stash
+from quern.llm._base import freed, stash
 from quern.llm.graph import components
 
 DATA = "/root/testdata/sf0.001"
@@ -174,6 +174,30 @@ def test_shingles_equal_plain_ones():
         assert (len(a), len(b), len(np.intersect1d(a, b))) == (len(p), len(q), len(p & q))
 
 
+def test_whole_sets_are_made_for_likely_pairs_only(spark, monkeypatch):
+    """Texts that share half of their words meet, but their sets are not written; shuffled files go with each table."""
+    rng = random.Random(5)
+    word, rows, sizes = (lambda: f"w{rng.randint(0, 10**6)}"), [], {}
+    for i in range(40):
+        shared = [word() for _ in range(40)]
+        rows += [(2 * i, " ".join(shared + [word() for _ in range(40)])), (2 * i + 1, " ".join([word() for _ in range(40)] + shared))]
+    rows += [(90, rows[0][1] + " end"), (91, rows[3][1] + " end")]
+
+    def stash(df, name, write=shingle_join.stash):
+        sizes[name] = max(sizes.get(name, 0), (table := write(df, name)).count())
+        return table
+
+    monkeypatch.setattr(shingle_join, "stash", stash)
+    got = shingle_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == linked(rows)
+    assert sizes["candidates"] > 2 and sizes["shingles"] == 4
+    was, seen = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled"), []
+    monkeypatch.undo()
+    with freed(spark):
+        seen.append(spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled"))
+    assert seen == ["true"] and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == was
+
+
 def test_a_large_family_is_one_component(spark):
     """Thousands of copies and near copies under few tasks, with every broadcast ruled out."""
     rng = random.Random(12)
