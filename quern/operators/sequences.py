@@ -60,10 +60,13 @@ def quality_rules(bounds: dict) -> list[tuple[Column, str]]:
 
 
 def kmer_sketch(rows: DataFrame, genome: str, sequence: str, k: int, keep: str = "0", digits: int = 1) -> DataFrame:
-    """Distinct k-mers of each genome whose SHA-256 begins with ``keep``: a scaled sketch of any text."""
-    n = F.length(sequence)
-    grams = F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(F.col(sequence), i, F.lit(k))))
-    return rows.select(genome, F.explode(F.array_distinct(grams)).alias("kmer")).where(F.substring(F.sha2("kmer", 256), 1, digits) == keep)
+    """Distinct k-mers of each genome whose SHA-256 begins with ``keep``: a scaled sketch of any text.
+
+    One pass over a text cuts its k-mers (a substring would look for its place from the text's start).
+    """
+    grams = F.regexp_extract_all(sequence, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
+    kept = F.filter(grams, lambda x: F.substring(F.sha2(x, 256), 1, digits) == keep)
+    return rows.select(genome, F.explode(F.array_distinct(kept)).alias("kmer"))
 
 
 def canonical(kmer: Column) -> Column:
