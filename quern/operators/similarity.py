@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from contextlib import ExitStack, contextmanager
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -235,34 +237,74 @@ def nearest(pairs: DataFrame, queries: DataFrame, query: str) -> DataFrame:
     return queries.join(best, queries[query] == best.query_id, "left").select(query, F.coalesce("m.similarity", F.lit(0.0)).alias("maximum"), (-F.col("m.o")).alias("nearest"))
 
 
-#: Bits of a word of a profile's bitmap, and profiles that a block holds.
-_WORD, BLOCK = 62, 4096
+#: Bits of a word of a profile's bitmap; profiles that a block holds, and that meet at once in a task.
+_WORD, BLOCK, CHUNK = 62, 32768, 4096
 
 
 def _bitmaps(profiles: DataFrame, profile: str, width: int) -> DataFrame:
-    """Adds the words of a profile's bitmap (features from 1 to ``width``) and its size."""
+    """Adds the words of a profile's bitmap (features from 1 to ``width``)."""
     bits = lambda w: F.aggregate(F.filter(profile, lambda x: F.floor((x - 1) / _WORD) == w), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), ((x - 1) % _WORD).cast("int"))))
-    return profiles.withColumns({f"_w{w}": bits(w) for w in range(-(-width // _WORD))}).withColumn("_size", F.size(profile))
+    return profiles.withColumns({f"_w{w}": bits(w) for w in range(max(1, -(-width // _WORD)))})
+
+
+def greatest_jaccard(a: np.ndarray, b: np.ndarray, apart: bool) -> np.ndarray:
+    """For each row of ``a`` the greatest Jaccard similarity to a row of ``b``, both rows of words; -1 without one.
+
+    Matrix products count shared bits; among rows of one size the most shared bits are the
+    greatest similarity, so quotients are taken once a size. With ``apart`` equal rows don't meet.
+    """
+    bits = lambda x: np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1), axis=1)
+    size_a, size_b = (np.bitwise_count(x.view(np.uint64)).sum(1).astype(np.int64) for x in (a, b))
+    by_a, by_b = np.argsort(size_a, kind="stable"), np.argsort(size_b, kind="stable")
+    a, b, size_a, size_b = a[by_a], b[by_b], size_a[by_a], size_b[by_b]
+    best = np.full(len(a), -1.0)
+    for j in range(0, len(b), CHUNK):
+        right, m = bits(b[j : j + CHUNK]).T.astype(np.float32), size_b[j : j + CHUNK]
+        start = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
+        for i in range(0, len(a), CHUNK):
+            n = size_a[i : i + CHUNK]
+            shared = bits(a[i : i + CHUNK]).astype(np.float32) @ right
+            if apart:
+                for begin, end in zip(start, [*start[1:], len(m)], strict=True):
+                    low, high = np.searchsorted(n, [m[begin], m[begin] + 1])
+                    same = shared[low:high, begin:end]
+                    same[same == m[begin]] = -1
+            most = np.maximum.reduceat(shared, start, axis=1).astype(np.int64)
+            union = n[:, None] + m[start] - most
+            found = np.where(most < 0, -1.0, np.where(union == 0, 1.0, most / np.maximum(union, 1))).max(1)
+            best[i : i + CHUNK] = np.maximum(best[i : i + CHUNK], found)
+    out = np.empty(len(a))
+    out[by_a] = best
+    return out
 
 
 def _greatest(left: DataFrame, right: DataFrame, name: str, width: int, apart: bool) -> DataFrame:
     """(name, similarity): for each row of ``left`` the greatest Jaccard similarity to a row of ``right``.
 
-    Both sides are dealt into blocks; each pair of blocks meets under one key, so a task
-    holds two blocks, and their maxima are taken before anything moves on. With ``apart``
-    rows of one name don't meet. Every pair is compared, by the bits they share.
+    Both sides are dealt into blocks, a row each, of the words of their bitmaps; each pair of blocks
+    is compared in one task, and only maxima move on. With ``apart`` rows of equal bits don't
+    meet. Every pair is compared, by the bits they share.
     """
-    words = range(-(-width // _WORD))
-    many = max(1, -(-left.count() // BLOCK)), max(1, -(-right.count() // BLOCK))
-    of = lambda df, mine, n, m, other: df.withColumn(mine, F.pmod(F.xxhash64(name), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    a = of(left, "_i", many[0], many[1], "_j")
-    b = of(right, "_j", many[1], many[0], "_i").select("_i", "_j", F.col(name).alias("_name"), *[F.col(f"_w{w}").alias(f"_v{w}") for w in words], F.col("_size").alias("_other"))
-    met = a.join(b, ["_i", "_j"])
-    if apart:
-        met = met.where(F.col(name) != F.col("_name"))
-    shared = sum((F.bit_count(F.col(f"_w{w}").bitwiseAND(F.col(f"_v{w}"))) for w in words), F.lit(0))
-    union = F.col("_size") + F.col("_other") - shared
-    return met.groupBy(name).agg(F.max(F.when(union == 0, F.lit(1.0)).otherwise(shared / union)).alias("similarity"))
+    words = [f"_w{w}" for w in range(max(1, -(-width // _WORD)))]
+    parts = lambda n: max(1, -(-n // BLOCK), min(8, -(-n // 1024)))
+    many = parts(left.count()), parts(right.count())
+
+    def blocks(df, mine, other, n, m, side):
+        rows = df.groupBy(F.pmod(F.xxhash64(*words), F.lit(n)).cast("int").alias(mine)).agg(F.collect_list(F.array(*words)).alias("_rows"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("_i", "_j", F.lit(side).alias("_side"), "_rows")
+
+    def compare(table):
+        of = {0: [], 1: []}
+        for side, rows in zip(table["_side"].to_pylist(), table["_rows"].combine_chunks(), strict=True):
+            of[side] = rows.values.flatten().to_numpy().reshape(-1, len(words))
+        a = of[0] if len(of[0]) and len(of[1]) else np.zeros((0, len(words)), np.int64)
+        best = greatest_jaccard(a, of[1], apart) if len(a) else np.zeros(0)
+        return pa.table({**{w: pa.array(a[:, k]) for k, w in enumerate(words)}, "similarity": pa.array(best)})
+
+    both = blocks(left, "_i", "_j", *many, 0).union(blocks(right, "_j", "_i", many[1], many[0], 1))
+    met = both.repartition(min(many[0] * many[1], 2048), "_i", "_j").groupBy("_i", "_j").applyInArrow(compare, ", ".join(f"{w} long" for w in words) + ", similarity double")
+    most = met.where("similarity >= 0").groupBy(*words).agg(F.max("similarity").alias("similarity"))
+    return left.join(most, words).select(name, "similarity")
 
 
 def maximum_jaccard(queries: DataFrame, reference: DataFrame, key: str, profile: str, width: int) -> DataFrame:
