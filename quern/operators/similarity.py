@@ -238,7 +238,9 @@ def nearest(pairs: DataFrame, queries: DataFrame, query: str) -> DataFrame:
 
 
 #: Bits of a word of a profile's bitmap; profiles that a block holds, and that meet at once in a task.
-_WORD, BLOCK, CHUNK = 62, 32768, 4096
+_WORD, BLOCK, CHUNK = 62, 32768, 1024
+#: Profiles of a slab, of a window of its orders, and how often rows are dealt anew into slabs.
+SLAB, WINDOW, DEALS = 1 << 18, 512, 8
 
 
 def _bitmaps(profiles: DataFrame, profile: str, width: int) -> DataFrame:
@@ -247,37 +249,71 @@ def _bitmaps(profiles: DataFrame, profile: str, width: int) -> DataFrame:
     return profiles.withColumns({f"_w{w}": bits(w) for w in range(max(1, -(-width // _WORD)))})
 
 
+def _bits(rows: np.ndarray) -> np.ndarray:
+    """The bits of rows of words, a byte each."""
+    return np.unpackbits(np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1), axis=1)
+
+
 def greatest_jaccard(a: np.ndarray, b: np.ndarray, apart: bool) -> np.ndarray:
     """For each row of ``a`` the greatest Jaccard similarity to a row of ``b``, both rows of words; -1 without one.
 
     Matrix products count shared bits; among rows of one size the most shared bits are the
     greatest similarity, so quotients are taken once a size. With ``apart`` equal rows don't meet.
     """
-    bits = lambda x: np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1), axis=1)
     size_a, size_b = (np.bitwise_count(x.view(np.uint64)).sum(1).astype(np.int64) for x in (a, b))
     by_a, by_b = np.argsort(size_a, kind="stable"), np.argsort(size_b, kind="stable")
     a, b, size_a, size_b = a[by_a], b[by_b], size_a[by_a], size_b[by_b]
+    shares = np.unpackbits((np.bitwise_or.reduce(a, axis=0) & np.bitwise_or.reduce(b, axis=0)).view(np.uint8)).astype(bool)
+    start = np.flatnonzero(np.r_[True, size_b[1:] != size_b[:-1]][: len(b)]).tolist()
     best = np.full(len(a), -1.0)
-    for j in range(0, len(b), CHUNK):
-        right, m = bits(b[j : j + CHUNK]).T.astype(np.float32), size_b[j : j + CHUNK]
-        start = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
-        for i in range(0, len(a), CHUNK):
-            n = size_a[i : i + CHUNK]
-            shared = bits(a[i : i + CHUNK]).astype(np.float32) @ right
-            if apart:
-                for begin, end in zip(start, [*start[1:], len(m)], strict=True):
-                    low, high = np.searchsorted(n, [m[begin], m[begin] + 1])
-                    same = shared[low:high, begin:end]
-                    same[same == m[begin]] = -1
-            most = np.maximum.reduceat(shared, start, axis=1).astype(np.int64)
-            union = n[:, None] + m[start] - most
-            found = np.where(most < 0, -1.0, np.where(union == 0, 1.0, most / np.maximum(union, 1))).max(1)
-            best[i : i + CHUNK] = np.maximum(best[i : i + CHUNK], found)
-    out = np.empty(len(a))
+    for i in range(0, len(a), CHUNK):
+        left, n, mine = _bits(a[i : i + CHUNK])[:, shares].T.astype(np.float32), size_a[i : i + CHUNK], best[i : i + CHUNK]
+        for begin, end in zip(start, [*start[1:], len(b)], strict=True):
+            m, most = size_b[begin], np.full(len(n), -1.0, np.float32)
+            low, high = np.searchsorted(n, [m, m + 1])
+            for j in range(begin, end, CHUNK):
+                shared = _bits(b[j : min(j + CHUNK, end)])[:, shares].astype(np.float32) @ left
+                if apart and low < high:
+                    same = shared[:, low:high]
+                    same[same == m] = -1
+                np.maximum(most, shared.max(0), out=most)
+            count = most.astype(np.int64)
+            union = n + m - count
+            np.maximum(mine, np.where(count < 0, -1.0, np.where(union == 0, 1.0, count / np.maximum(union, 1))), out=mine)
+    out = np.empty(len(best))
     out[by_a] = best
     return out
 
 
+def some_jaccard(rows: np.ndarray, orders: int, seed: int) -> np.ndarray:
+    """For each row of words a Jaccard similarity to another row, its greatest or less; -1 without one.
+
+    Rows are put into some orders, each by the bits of other columns first, in which similar rows
+    often stand close, and meet the rows of their window.
+    """
+    best, rng, n = np.full(len(rows), -1.0), np.random.default_rng(seed), len(rows)
+    held = np.bitwise_or.reduce(rows, axis=0)
+    vary = np.flatnonzero([held[k // _WORD] >> (k % _WORD) & 1 for k in range(_WORD * rows.shape[1])])
+    columns = _bits(held[None])[0].astype(bool)
+    at = np.arange(-(-n // WINDOW) * WINDOW) % n  # the last window begins again
+    for _ in range(orders):
+        order = np.zeros(n, np.int64)
+        for k in rng.permutation(vary)[:_WORD]:
+            order = order << 1 | rows[:, k // _WORD] >> (k % _WORD) & 1
+        for some in np.argsort(order)[at].reshape(-1, WINDOW):
+            bits = _bits(rows[some])[:, columns].astype(np.float32)
+            size, shared = np.maximum(bits.sum(1), np.float32(0.5)), bits @ bits.T
+            union = size[:, None] + size
+            union -= shared
+            near = shared / union
+            near[near == 1] = -1  # equal rows
+            to = near.argmax(1)
+            first = np.arange(WINDOW), to
+            found = np.where(near[first] < 0, -1.0, shared[first].astype(np.float64) / union[first])
+            np.maximum.at(best, some, found)
+    return best
+
+
 def _greatest(left: DataFrame, right: DataFrame, name: str, width: int, apart: bool) -> DataFrame:
     """(name, similarity): for each row of ``left`` the greatest Jaccard similarity to a row of ``right``.
 
@@ -290,7 +326,7 @@ def _greatest(left: DataFrame, right: DataFrame, name: str, width: int, apart: b
     many = parts(left.count()), parts(right.count())
 
     def blocks(df, mine, other, n, m, side):
-        rows = df.groupBy(F.pmod(F.xxhash64(*words), F.lit(n)).cast("int").alias(mine)).agg(F.collect_list(F.array(*words)).alias("_rows"))
+        rows = df.where(F.col(words[0]).isNotNull()).groupBy(F.pmod(F.xxhash64(*words), F.lit(n)).cast("int").alias(mine)).agg(F.collect_list(F.array(*words)).alias("_rows"))
         return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("_i", "_j", F.lit(side).alias("_side"), "_rows")
 
     def compare(table):
@@ -323,6 +359,54 @@ def leave_one_out(profiles: DataFrame, profile: str, width: int) -> DataFrame:
     return one.select(profile).join(_greatest(one, one, profile, width, True), profile, "left").select(profile, F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
 
 
+def _some(one: DataFrame, count: int, width: int) -> DataFrame:
+    """(words, low): a similarity of each row of bitmaps to another one, its greatest or less."""
+    words = [f"_w{w}" for w in range(max(1, -(-width // _WORD)))]
+    slabs, orders = -(-count // SLAB), min(6, 1 + count // (1 << 16))
+
+    def near(table):
+        deal = table["_d"][0].as_py()
+        rows = table["_rows"].combine_chunks().values.flatten().to_numpy().reshape(-1, len(words))
+        return pa.table({**{w: pa.array(rows[:, k]) for k, w in enumerate(words)}, "low": pa.array(some_jaccard(rows, orders, deal))})
+
+    dealt = one.where(F.col(words[0]).isNotNull()).select(*words, F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("_d"))
+    dealt = dealt.groupBy("_d", F.pmod(F.xxhash64(*words, "_d"), F.lit(slabs)).cast("int").alias("_s")).agg(F.collect_list(F.array(*words)).alias("_rows"))
+    met = dealt.repartition(min(DEALS * slabs, 2048), "_d", "_s").groupBy("_d", "_s").applyInArrow(near, ", ".join(f"{w} long" for w in words) + ", low double")
+    return met.where("low >= 0").groupBy(*words).agg(F.max("low").alias("low"))
+
+
+def _at(rows: DataFrame, column: str, place: int) -> float:
+    """The value at a place, from 0, in order; similarities have no more values than pairs of sizes."""
+    for value, n in sorted(rows.groupBy(column).count().collect()):
+        place -= n
+        if place < 0:
+            return value
+    raise IndexError("beyond the last row")
+
+
+def least_alike(profiles: DataFrame, profile: str, width: int, quantile: float) -> DataFrame:
+    """As ``leave_one_out``, exact for all profiles that a quantile of the similarities, or one below it, depends on.
+
+    The others get a similarity to one of the profiles which is not below that quantile, so the
+    quantile is the exact one. A similarity of each profile to another one, found in windows of
+    some orders, bounds its greatest from below. Those lowest by this bound are compared with all
+    profiles, which bounds the quantile from above, and then all the others whose own bound is below that.
+    """
+    one = checkpointed(_bitmaps(profiles.select(profile).distinct(), profile, width))
+    words, count = one.columns[1:], one.count()
+    exact = lambda some: checkpointed(some.select(profile).join(_greatest(some, one, profile, width, True), profile, "left").select(profile, F.coalesce("similarity", F.lit(1.0)).alias("similarity")))
+    if count <= BLOCK:
+        return exact(one)
+    low = checkpointed(one.join(_some(one, count, width), words, "left").withColumn("low", F.coalesce("low", F.when(F.col(words[0]).isNull(), 1.0).otherwise(0.0))))
+    last = min(int(quantile * (count - 1)) + 1, count - 1)
+    first = _at(low, "low", min(last + max(last // 4, WINDOW), count - 1))
+    lowest = exact(low.where(F.col("low") <= first))
+    most = _at(lowest, "similarity", last)
+    unsure = (F.col("low") > first) & (F.col("low") < most)
+    rest = low.where((F.col("low") > first) & (F.col("low") >= most)).select(profile, F.col("low").alias("similarity"))
+    return lowest.union(exact(low.where(unsure))).union(rest)
+
+
 def novelty_floor(similarities: DataFrame, column: str, quantile: float) -> DataFrame:
     """The exact, linearly interpolated quantile."""
     return similarities.agg(F.percentile(column, F.lit(quantile)).alias("floor"))

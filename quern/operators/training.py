@@ -12,7 +12,7 @@ from ..functions.columns import calibrated, model_signal, sigmoid
 from .contracts import ContractError, join_many_to_one, require_bundle, require_columns, require_complete, require_domain, schema_digest
 from .metrics import auroc, average_precision, best_thresholds, called_metrics, evaluate, threshold_candidates
 from .models import fit_logistic, fit_platt, margin
-from .similarity import checkpointed, leave_one_out, novelty_floor
+from .similarity import checkpointed, least_alike, novelty_floor
 
 #: Versions of the tables that a bundle holds.
 MODEL, BUNDLE = "model-1", "bundle-1"
@@ -85,7 +85,7 @@ def train_drug(rows: DataFrame, drug: str, counts: dict[str, int], width: int, s
         return Model(drug, "skipped", "unavailable", f"training needs {settings.least_train} samples of each class")
     w = fit_logistic(of("train"), "x", "y", settings.c, settings.iterations)
     profiles = of("train").select(present("x").alias("profile"))
-    floor = novelty_floor(leave_one_out(profiles, "profile", width), "similarity", settings.novelty_quantile).first()["floor"]
+    floor = novelty_floor(least_alike(profiles, "profile", width, settings.novelty_quantile), "similarity", settings.novelty_quantile).first()["floor"]
     if both("calibration") < settings.least_calibration:
         return Model(drug, "trained", "unavailable", None, w, None, None, None, floor)
     scored = checkpointed(of("calibration").select(margin("x", w).alias("z"), "y"))

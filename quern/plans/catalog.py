@@ -378,7 +378,7 @@ def unique_profiles(spark, d):
 
 @query(f"WITH {_LOO} SELECT round(quantile_cont(similarity, 0.05::DOUBLE), 6) AS floor FROM loo")
 def novelty_floor(spark, d):
-    return similarity.novelty_floor(similarity.leave_one_out(R.profiles(spark, d), "profile", R.WIDTH), "similarity", 0.05).withColumn("floor", F.round("floor", 6))
+    return similarity.novelty_floor(similarity.least_alike(R.profiles(spark, d), "profile", R.WIDTH, 0.05), "similarity", 0.05).withColumn("floor", F.round("floor", 6))
 
 
 _CAND = f"""{R.SCORED}, ps AS (SELECT drug, p, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg FROM sc GROUP BY 1, 2), ca AS (SELECT *, low_calls >= 5 AND low_errors / low_calls::DOUBLE <= 0.1 AS low_ok, high_calls >= 5 AND high_errors / high_calls::DOUBLE <= 0.1 AS high_ok FROM (
