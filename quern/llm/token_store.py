@@ -35,7 +35,7 @@ import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +79,7 @@ class Encoder:
         before = file.get("pre_tokenizer") or {}
         self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and file.get("normalizer") is None
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.letters = {b: c for c, b in byte_letters().items()}
+        self.letters = {b: c for c, b in byte_letters().items()} | {0: "\0"}
         self.model = self.tokenizer.model.tokenize
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.small: dict[str, list[int]] = {}
@@ -90,13 +90,13 @@ class Encoder:
     def library(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _letters(self, text: str) -> list[int]:
-        """Ids of a pre-token of letters, perhaps with a space before them."""
-        if text.isascii():
-            spelled = "\u0120" + text[1:] if text[0] == " " else text
-        else:
-            spelled = "".join([self.letters[b] for b in text.encode()])
-        return [x.id for x in self.model(spelled)]
+    def _letters(self, some: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of pre-tokens of letters, perhaps with a space before them, and how many each has."""
+        if not some:
+            return [], []
+        spelled = "\0".join(some).encode().decode("latin-1").translate(self.letters).split("\0")
+        found = list(map(self.model, spelled))
+        return [x.id for t in found for x in t], list(map(len, found))
 
     def _few(self, text: str) -> list[int]:
         """Ids of marks or a line break, of which there are few."""
@@ -108,24 +108,19 @@ class Encoder:
         return ids
 
     def _piece(self, p: str) -> list[int] | None:
-        """Ids of what stands between two spaces, the first of which counts to it, or a line
+        """The library's ids of what stands between two spaces, the first of which counts to it, or a line
         break does; None if it has other white space at its ends."""
         if not p or (p[-1].isspace() and p != "\n") or (p[0].isspace() and (p[0] != "\n" or p[1:2].isspace())):
             return None
-        if p.isalpha():
-            return self._letters(" " + p)
-        if p[0] == "\n" and p[1:].isalpha():
-            return self._few("\n") + self._letters(p[1:])
         return self.library(p if p[0] == "\n" else " " + p)
 
-    def _add(self, words: list[str], ids: list[list[int] | None]) -> np.ndarray:
+    def _add(self, words: pa.Array, ids: np.ndarray, many: np.ndarray) -> np.ndarray:
         """Remembers pieces with their ids, and gives their places."""
-        many = np.array([-1 if x is None else len(x) for x in ids], np.int64)
         size = np.maximum(many, 0)
         self.begin = np.concatenate([self.begin, len(self.ids) + size.cumsum() - size])
         self.many, self.met = np.concatenate([self.many, many]), np.concatenate([self.met, np.full(len(words), self.turn)])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(x for x in ids if x), self.dtype, int(size.sum()))])
-        self.pieces = pa.concat_arrays([self.pieces, pa.array(words, pa.string())])
+        self.ids = np.concatenate([self.ids, ids])
+        self.pieces = pa.concat_arrays([self.pieces, words])
         return np.arange(len(self.pieces) - len(words), len(self.pieces))
 
     def _find(self, pieces: pa.Array) -> np.ndarray:
@@ -134,32 +129,44 @@ class Encoder:
     def _places(self, pieces: pa.Array) -> np.ndarray:
         """The places of pieces, all different, among the remembered ones, to which new ones are added.
 
-        A word with marks behind it takes its ids from the word and the marks.
+        A word of letters with marks behind it takes its ids from the word and the marks.
         """
         place = self._find(pieces)
         new = np.flatnonzero(place < 0)
         if not len(new):
             return place
-        words = pieces.take(pa.array(new)).to_pylist()
-        ids: dict[str, list[int] | None] = {}
-        marked = []
-        for w in words:
-            if w[-1:] in MARKS and w:
-                core = w.rstrip(MARKS)
-                if core.isalpha() or (core[:1] == "\n" and core[1:].isalpha()):
-                    marked.append((w, core))
-                    continue
-            ids[w] = self._piece(w)
-        if marked:
-            cores = list({c for _, c in marked}.difference(ids))
-            at = self._find(pa.array(cores, pa.string()))
-            of = {c: self.ids[self.begin[k] : self.begin[k] + self.many[k]].tolist() if k >= 0 else None for c, k in zip(cores, at.tolist(), strict=True)}
-            for c in [c for c, x in of.items() if x is None]:
-                of[c] = ids[c] = self._piece(c)
-            for w, c in marked:
-                ids[w] = (of[c] if c in of else ids[c]) + self._few(w[len(c) :])
-        there = dict(zip(ids, self._add(list(ids), list(ids.values())).tolist(), strict=True))
-        place[new] = [there[w] for w in words]
+        fresh = pieces.take(pa.array(new))
+        words = _listed(fresh)
+        cores = [w.rstrip(MARKS) for w in words]
+        plain = np.fromiter(map(str.isalpha, cores), bool, len(cores))
+        parts = [(w, c) for w, c, p in zip(words, cores, plain.tolist(), strict=True) if not p]
+        lines = list({c for _, c in parts if c[:1] == "\n" and c[1:].isalpha()})
+        flat, length = self._letters([c[1:] for c in lines])
+        of_line = {c: self._few("\n") + flat[e - n : e] for c, n, e in zip(lines, length, accumulate(length), strict=True)}
+        lists = [of_line[c] + self._few(w[len(c) :]) if c in of_line else self._piece(w) for w, c in parts]
+        many = np.array([-1 if x is None else len(x) for x in lists], np.int64)
+        ids = np.fromiter(chain.from_iterable(x for x in lists if x), self.dtype, int(np.maximum(many, 0).sum()))
+        place[new[~plain]] = self._add(fresh.filter(pa.array(~plain)), ids, many)
+        if plain.any():
+            fresh = fresh.filter(pa.array(plain))
+            tails: dict[str, int] = {"": 0}
+            tail = np.array([tails.setdefault(w[len(c) :], len(tails)) for w, c, p in zip(words, cores, plain.tolist(), strict=True) if p])
+            coded = pa.array([c for c, p in zip(cores, plain.tolist(), strict=True) if p], pa.string()).dictionary_encode()
+            core = coded.indices.to_numpy()
+            at = self._find(coded.dictionary)
+            # cores met for the first time, also those that no piece is equal to, are remembered first
+            first = coded.dictionary.filter(pa.array(at < 0))
+            ids, many = self._letters([" " + c for c in _listed(first)])
+            at[at < 0] = self._add(first, np.array(ids, self.dtype), np.array(many, np.int64))
+            of, whole = at[core], tail == 0
+            place[new[plain]] = of
+            behind = [self._few(t) for t in tails]
+            size, left = self.many[of[~whole]], np.array(list(map(len, behind)))[tail[~whole]]
+            ends = (size + left).cumsum()
+            out = np.empty(int(ends[-1]) if len(ends) else 0, self.dtype)
+            out[_spread(ends - size - left, size)] = self.ids[_spread(self.begin[of[~whole]], size)]
+            out[_spread(ends - left, left)] = np.array(list(chain.from_iterable(behind)), self.dtype)[_spread(np.r_[0, np.cumsum(list(map(len, behind)))][tail[~whole]], left)]
+            place[new[plain][~whole]] = self._add(fresh.filter(pa.array(~whole)), out, size + left)
         return place
 
     def _forget(self) -> None:
@@ -201,6 +208,13 @@ class Encoder:
         return out
 
 
+def _listed(words: pa.Array) -> list[str]:
+    """Strings without spaces as a list; one long string is cut faster than many are made."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().split(" ")
+
+
 def _spread(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Places of runs: ``many`` from each ``begin`` on."""
     ends = many.cumsum()
@@ -229,6 +243,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 _SQUASH, _STRETCH = _tables()
+#: What becomes of a guess's sureness, which its difference from the place shows: order 1, then order 2; from 16 on it was wrong.
+_SURER = np.array([min(k + 1, 3) for k in range(16)] + [0] + [min(k + 4, 12) for k in range(16)] + [0], np.uint16)
 
 
 #: Steps that are handled together at most.
@@ -292,10 +308,10 @@ class _Reader:
         self.range, self.n = np.full(len(coded), ~_U(0)), np.full(len(coded), 2)
 
     def peek(self, on: int) -> np.ndarray:
-        """Where in 2**32 the next event of each of the first ``on`` lanes lies."""
+        """Where in 2**32 the next event of each of the first ``on`` lanes lies; beyond that in damaged bytes."""
         rng = self.range[:on]
         rng >>= _SHARE
-        return np.minimum(self.code[:on] // rng, _FULL - _U(1))
+        return self.code[:on] // rng
 
     def take(self, on: int, start: np.ndarray, size: np.ndarray) -> None:
         code, rng = self.code[:on], self.range[:on]
@@ -405,7 +421,7 @@ def _decode_sets(coded: list[bytes], many: list[int]) -> list[np.ndarray]:
             m.refresh()
         buckets = np.empty((until - t, on), np.int64)
         for k in range(until - t):
-            v = r.peek(on).astype(np.int64)
+            v = np.minimum(r.peek(on), _FULL - _U(1)).astype(np.int64)
             buckets[k] = m.cell.take(m.cells[:on] + (v >> (32 - _GAP_BITS)))
             bits = _rest_bits(buckets[k])
             start, size = m.shares(buckets[k], 0, bits)
@@ -443,6 +459,7 @@ class _Models:
         self.count = np.ones(int(self.end[-1]), np.int32)
         self.place = (np.arange(len(self.count)) - np.repeat(self.first, sizes)).astype(np.int32)
         self.cells = lane * ((1 << _ID_BITS) // _CELL)
+        self.seen: list[tuple[np.ndarray, np.ndarray]] = []
         self.refresh()
 
     def look(self, on: int) -> tuple[np.ndarray, np.ndarray]:
@@ -458,21 +475,23 @@ class _Models:
 
     def learn(self, x: np.ndarray, at: np.ndarray, held: np.ndarray) -> None:
         """Takes in the ids' places ``x``: a guess that was right is surer, a wrong one is replaced."""
-        new = np.empty_like(held)
-        new[:] = x << 4
-        sure = ((held ^ new) < 16).ravel().nonzero()[0]
-        more = 1 + 3 * (sure >= len(x))
-        new.ravel()[sure] = np.minimum(held.ravel()[sure] + more, new.ravel()[sure] + 3 * more)
-        self.table[at] = new
+        new = (x << 4).astype(np.uint16)
+        sure = np.minimum(held ^ new, 16)
+        sure[1] += 17
+        self.table[at] = _SURER.take(sure) + new
         self.before, self.prev = self.prev, x
 
     def take_in(self, x: np.ndarray, context: np.ndarray, event: np.ndarray) -> None:
-        """Counts some steps of the same lanes: places, contexts and how they were coded."""
-        on = x.shape[1]
-        self.count += (2 * np.bincount((x.T + self.first[:on, None]).ravel(), minlength=len(self.count))).astype(np.int32)
-        self.events += np.bincount((context * 3 + event).T.ravel(), minlength=self.events.size).reshape(self.events.shape)
+        """Keeps some steps of the same lanes, places, contexts and how they were coded, until the models are due."""
+        self.seen.append((x, (context * 3 + event).astype(np.int32)))
 
     def refresh(self) -> None:
+        if self.seen:
+            of = lambda k: np.concatenate([s[k].T.ravel() for s in self.seen])
+            first = np.concatenate([np.repeat(self.first[: x.shape[1]], len(x)) for x, _ in self.seen])
+            self.count += np.bincount(of(0) + first, minlength=len(self.count)).astype(np.int32) << 1
+            self.events += np.bincount(of(1), minlength=self.events.size).reshape(self.events.shape)
+            self.seen = []
         self._chances()
         self._frequencies()
 

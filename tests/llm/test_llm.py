@@ -812,6 +812,39 @@ def test_ids_equal_the_library(monkeypatch, encode):
         assert own.decode([own.of_byte[0xC3], own.of_byte[65]]) == "�A"
 
 
+def test_words_of_letters_are_looked_up_together(monkeypatch):
+    """Words of letters, with marks behind or a line break before them, take no call of their own but the model's."""
+    words = ["Wort", "wörter", "naïve", "x", "Eins", "zwei", "ÉCOLE", "日本語", "wort"]
+    text = " ".join(["Start", *words, *(w + m for w in words for m in (",", ".", "...", "!?")), "neu;", "neu", "\nZeile", "\nZeile,", "\nüber."])
+    texts = [text, text.upper(), "a " + " ".join(reversed(text.split(" "))), "b 12,5 l'été a-b, ..., \n \n, x"]
+    want = [token_store.Encoder(PATH).library(t) for t in texts]
+    own, piece = token_store.Encoder(PATH), token_store.Encoder._piece
+    asked = []
+    monkeypatch.setattr(token_store.Encoder, "_piece", lambda self, p: asked.append(p) or piece(self, p))
+    assert [x.tolist() for x in own.encode(texts[:1]) + own.encode(texts[1:])] == want
+    assert not [p for p in asked if p.strip("\n.,;!?").isalpha()]
+
+
+def test_models_count_only_when_they_are_due(monkeypatch):
+    """What was coded is counted at the few places of a block where the models use it, not every 128 steps."""
+    ids = np.random.default_rng(3).zipf(1.3, token_store.BLOCK).clip(1, 5000)
+    models, calls, bincount = [], [], np.bincount
+    made = token_store._Models.__init__
+    monkeypatch.setattr(token_store._Models, "__init__", lambda self, sizes: made(self, sizes) or models.append(self))
+    refresh = token_store._Models.refresh
+
+    def counted(self):
+        with monkeypatch.context() as m:
+            m.setattr(token_store.np, "bincount", lambda *a, **k: calls.append("due") or bincount(*a, **k))
+            refresh(self)
+
+    monkeypatch.setattr(token_store._Models, "refresh", counted)
+    (packed,) = token_store.pack([ids])
+    assert token_store.unpack([packed])[0].tolist() == ids.tolist()
+    due = [t for t in range(1, token_store.BLOCK) if token_store._due(t)]
+    assert len(models) == 2 and len(calls) == 2 * 2 * len(due)
+
+
 def test_token_store_of_odd_input(odd):
     library = Tokenizer.from_file(PATH)
     got = sorted(rows_of(token_store.read_records(stash(token_store.write_records(odd, PATH), "t"))), key=lambda r: r[1])
