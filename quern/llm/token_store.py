@@ -52,7 +52,7 @@ BLOCK, LANES, RECORD = 4096, 2048, 1 << 16
 #: Pieces of texts that a worker remembers the ids of.
 CACHE = 800_000
 #: Bytes of texts that are encoded together, at least.
-TOGETHER = 12 << 20
+TOGETHER = 18 << 20
 MAGIC = b"QCM2"
 _HEAD = "<4sIIIII"
 
@@ -95,8 +95,13 @@ class Encoder:
         if not some:
             return [], []
         spelled = "\0".join(some).encode().decode("latin-1").translate(self.letters).split("\0")
-        found = list(map(self.model, spelled))
-        return [x.id for t in found for x in t], list(map(len, found))
+        ids: list[int] = []
+        many: list[int] = []
+        for k in range(0, len(spelled), 256):  # the library's objects go before the collector looks at them
+            found = list(map(self.model, spelled[k : k + 256]))
+            ids += [x.id for t in found for x in t]
+            many += map(len, found)
+        return ids, many
 
     def _few(self, text: str) -> list[int]:
         """Ids of marks or a line break, of which there are few."""
@@ -127,15 +132,20 @@ class Encoder:
         return pc.index_in(pieces, value_set=self.pieces).fill_null(-1).to_numpy().astype(np.int64)
 
     def _places(self, pieces: pa.Array) -> np.ndarray:
-        """The places of pieces, all different, among the remembered ones, to which new ones are added.
+        """The places of pieces among the remembered ones, to which new ones are added."""
+        place = self._find(pieces)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            coded = pieces.take(pa.array(new)).dictionary_encode()
+            place[new] = self._learn(coded.dictionary)[coded.indices.to_numpy()]
+        return place
+
+    def _learn(self, fresh: pa.Array) -> np.ndarray:
+        """Remembers new pieces, all different, and gives their places.
 
         A word of letters with marks behind it takes its ids from the word and the marks.
         """
-        place = self._find(pieces)
-        new = np.flatnonzero(place < 0)
-        if not len(new):
-            return place
-        fresh = pieces.take(pa.array(new))
+        place = np.empty(len(fresh), np.int64)
         words = _listed(fresh)
         cores = [w.rstrip(MARKS) for w in words]
         plain = np.fromiter(map(str.isalpha, cores), bool, len(cores))
@@ -146,7 +156,7 @@ class Encoder:
         lists = [of_line[c] + self._few(w[len(c) :]) if c in of_line else self._piece(w) for w, c in parts]
         many = np.array([-1 if x is None else len(x) for x in lists], np.int64)
         ids = np.fromiter(chain.from_iterable(x for x in lists if x), self.dtype, int(np.maximum(many, 0).sum()))
-        place[new[~plain]] = self._add(fresh.filter(pa.array(~plain)), ids, many)
+        place[~plain] = self._add(fresh.filter(pa.array(~plain)), ids, many)
         if plain.any():
             fresh = fresh.filter(pa.array(plain))
             tails: dict[str, int] = {"": 0}
@@ -159,16 +169,24 @@ class Encoder:
             ids, many = self._letters([" " + c for c in _listed(first)])
             at[at < 0] = self._add(first, np.array(ids, self.dtype), np.array(many, np.int64))
             of, whole = at[core], tail == 0
-            place[new[plain]] = of
             behind = [self._few(t) for t in tails]
             size, left = self.many[of[~whole]], np.array(list(map(len, behind)))[tail[~whole]]
             ends = (size + left).cumsum()
             out = np.empty(int(ends[-1]) if len(ends) else 0, self.dtype)
             out[_spread(ends - size - left, size)] = self.ids[_spread(self.begin[of[~whole]], size)]
             out[_spread(ends - left, left)] = np.array(list(chain.from_iterable(behind)), self.dtype)[_spread(np.r_[0, np.cumsum(list(map(len, behind)))][tail[~whole]], left)]
-            place[new[plain][~whole]] = self._add(fresh.filter(pa.array(~whole)), out, size + left)
+            of[~whole] = self._add(fresh.filter(pa.array(~whole)), out, size + left)
+            place[plain] = of
         return place
 
+    def _joined(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one behind the other, and where each piece's begin and end."""
+        size = self.ids.itemsize
+        known = pa.Array.from_buffers(pa.large_binary(), len(self.begin), [None, pa.py_buffer(np.append(self.begin, len(self.ids)) * size), pa.py_buffer(self.ids)])
+        _, ends, ids = known.take(pa.array(place)).buffers()
+        upto = np.frombuffer(ends, np.int64, len(place) + 1) // size
+        return np.frombuffer(ids, self.dtype, int(upto[-1])) if upto[-1] else self.ids[:0], upto
+
     def _forget(self) -> None:
         """Beyond CACHE pieces, keeps those that were met last, half as many."""
         if len(self.pieces) <= CACHE:
@@ -190,17 +208,14 @@ class Encoder:
             lists = pc.split_pattern(pa.array([h[1] for _, h in both], pa.large_string()), " ")
             flat = lists.flatten()
             if flat.nbytes < 1 << 30:  # else texts are too long for it, and go whole
-                coded = flat.cast(pa.string()).dictionary_encode()
-                place = self._places(coded.dictionary)
+                place = self._places(flat.cast(pa.string()))
                 self.met[place] = self.turn
-                place = place[coded.indices.to_numpy()]
-                many, ends = self.many[place], lists.offsets.to_numpy()
-                ids = self.ids[_spread(self.begin[place], np.maximum(many, 0))]
-                upto, bad = np.r_[0, np.maximum(many, 0).cumsum()], np.r_[0, (many < 0).cumsum()]
+                ids, upto = self._joined(place)
+                ends = lists.offsets.to_numpy()
+                bad, upto = np.searchsorted((self.many[place] < 0).nonzero()[0], ends), upto[ends].tolist()
                 for i, (k, h) in enumerate(both):
-                    a, z = ends[i], ends[i + 1]
-                    if bad[a] == bad[z]:
-                        out[k] = np.concatenate([np.array(self._few(h[0]), self.dtype), ids[upto[a] : upto[z]]])
+                    if bad[i] == bad[i + 1]:
+                        out[k] = np.concatenate([np.array(self._few(h[0]), self.dtype), ids[upto[i] : upto[i + 1]]])
                 self._forget()
         for k, t in enumerate(some):
             if out[k] is None:
@@ -224,8 +239,9 @@ def _spread(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
 _U = np.uint64
 #: Shares of an event are of 2**32; of those, frequencies of ids and of gaps are of these powers of two.
 _FULL, _SHARE, _ID_BITS, _GAP_BITS = _U(1 << 32), _U(32), 15, 10
-_ID_SHARE, _CELL_BITS = _U(_ID_BITS), 6
+_ID_SHARE, _CELL_BITS = _U(_ID_BITS), 4
 _CELL = 1 << _CELL_BITS
+_PART_BITS, _PART = _U(16), _U((1 << 16) - 1)
 #: Buckets of gaps between a block's distinct ids: two for each power of two.
 _BUCKETS, _MOST = 44, 1 << 21
 #: Places of the tables of orders 1 and 2, in a lane, and contexts of the mixed chance: the two
@@ -248,7 +264,7 @@ _SURER = np.array([min(k + 1, 3) for k in range(16)] + [0] + [min(k + 4, 12) for
 
 
 #: Steps that are handled together at most.
-_STEPS = 128
+_STEPS = 32
 
 
 def _due(t: int) -> bool:
@@ -265,7 +281,8 @@ class _Writer:
 
     def __init__(self, lanes: int, steps: int):
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, ~_U(0))
-        self.out, self.n = np.zeros((steps + 4, lanes), _U), np.zeros(lanes, np.int64)
+        #: The lanes' words, lane by lane, and where each one's next word goes.
+        self.out, self.n = np.zeros(lanes * (steps + 4), _U), np.arange(lanes) * (steps + 4)
 
     def put(self, on: int, start: np.ndarray, size: np.ndarray) -> None:
         """An event of each of the first ``on`` lanes."""
@@ -276,36 +293,39 @@ class _Writer:
         rng *= size
         over = (low < start).nonzero()[0]
         if over.size:
-            self.out[self.n[over] - 1, over] += _U(1)
+            self.out[self.n[over] - 1] += _U(1)
         short = (rng < _FULL).nonzero()[0]
         if short.size:
             v, n = low[short], self.n[short]
-            self.out[n, short] = v >> _SHARE
+            self.out[n] = v >> _SHARE
             low[short] = v << _SHARE
             rng[short] <<= _SHARE
             self.n[short] = n + 1
 
     def close(self) -> list[bytes]:
-        lanes = np.arange(len(self.n))
         for shift in (32, 0):
-            self.out[self.n, lanes] = (self.low >> _U(shift)) & (_FULL - _U(1))
+            self.out[self.n] = (self.low >> _U(shift)) & (_FULL - _U(1))
             self.n += 1
-        out = self.out[: self.n.max()]
+        out = self.out.reshape(len(self.n), -1)
+        n = self.n - np.arange(len(out)) * out.shape[1]
+        out = out[:, : n.max()]
         while (carry := out >> _SHARE).any():
             out &= _FULL - _U(1)
-            out[:-1] += carry[1:]
-        words = out.T.astype(">u4")
-        return [w[:n].tobytes() for w, n in zip(words, self.n.tolist(), strict=True)]
+            out[:, :-1] += carry[:, 1:]
+        words = out.astype(">u4")
+        return [w[:n].tobytes() for w, n in zip(words, n.tolist(), strict=True)]
 
 
 class _Reader:
     def __init__(self, coded: list[bytes]):
-        self.words = np.zeros((max(map(len, coded)) // 4 + 2, len(coded)), np.uint32)
-        for i, c in enumerate(coded):
-            self.words[: len(c) // 4, i] = np.frombuffer(c, ">u4", len(c) // 4)
-        self.last = len(self.words) - 1
-        self.code = (self.words[0].astype(_U) << _SHARE) | self.words[1]
-        self.range, self.n = np.full(len(coded), ~_U(0)), np.full(len(coded), 2)
+        words = np.zeros((len(coded), max(map(len, coded)) // 4 + 2), np.uint32)
+        for w, c in zip(words, coded, strict=True):
+            w[: len(c) // 4] = np.frombuffer(c, ">u4", len(c) // 4)
+        self.code = (words[:, 0].astype(_U) << _SHARE) | words[:, 1]
+        self.range, self.words = np.full(len(coded), ~_U(0)), words.ravel()
+        #: Where each lane's next word lies, and its last one, which is 0.
+        self.last = np.arange(1, len(coded) + 1) * words.shape[1] - 1
+        self.n = np.minimum(self.last - words.shape[1] + 3, self.last)
 
     def peek(self, on: int) -> np.ndarray:
         """Where in 2**32 the next event of each of the first ``on`` lanes lies; beyond that in damaged bytes."""
@@ -320,9 +340,9 @@ class _Reader:
         short = (rng < _FULL).nonzero()[0]
         if short.size:
             n = self.n[short]
-            code[short] = (code[short] << _SHARE) | self.words[np.minimum(n, self.last), short]
+            code[short] = (code[short] << _SHARE) | self.words.take(n)
             rng[short] <<= _SHARE
-            self.n[short] = n + 1
+            self.n[short] = np.minimum(n + 1, self.last[short])
 
 
 def _on(length: np.ndarray) -> list[int]:
@@ -337,9 +357,13 @@ class _Gaps:
         self.seen = np.ones((lanes, _BUCKETS), np.int64)
         self.lane = np.arange(lanes) * _BUCKETS
         self.cells = np.arange(lanes) << _GAP_BITS
+        self.met: list[np.ndarray] = []
         self.refresh()
 
     def refresh(self) -> None:
+        if self.met:
+            self.seen += 4 * np.bincount(np.concatenate(self.met), minlength=self.seen.size).reshape(self.seen.shape)
+            self.met = []
         up = self.seen.cumsum(1)
         high = up * ((1 << _GAP_BITS) - _BUCKETS) // up[:, -1:] + np.arange(1, _BUCKETS + 1)
         self.wide = np.diff(high, prepend=0)
@@ -354,8 +378,8 @@ class _Gaps:
         return ((self.low.take(at) << (32 - _GAP_BITS)) + rest * size).astype(_U), size.astype(_U)
 
     def learn(self, bucket: np.ndarray) -> None:
-        """Takes in some steps of the same lanes."""
-        self.seen += 4 * np.bincount((bucket + self.lane[: bucket.shape[-1]]).ravel(), minlength=self.seen.size).reshape(self.seen.shape)
+        """Keeps some steps of the same lanes until frequencies are due."""
+        self.met.append((bucket + self.lane[: bucket.shape[-1]]).ravel())
 
 
 def _runs(live: list[int], due: Callable[[int], bool], most: int) -> Iterator[tuple[int, int, int]]:
@@ -449,11 +473,12 @@ class _Models:
         self.table = np.zeros(lanes * (_ONE + _TWO), np.uint16)
         lane = np.arange(lanes)
         self.lanes = lane * (_ONE + _TWO)
-        self.base = lane * _CONTEXTS
+        #: A context's counts and shares of all lanes lie side by side, so sums over contexts run along lanes.
+        self.base = lane
         self.before = np.zeros(lanes, np.int64)
         self.prev = np.zeros(lanes, np.int64)
-        self.events = np.zeros((lanes, _CONTEXTS, 3), np.int64)
-        self.weight = np.full((lanes, 3), 24000, np.int64)
+        self.events = np.zeros((3, _CONTEXTS, lanes), np.int64)
+        self.weight = np.full((3, lanes), 24000, np.int64)
         self.sizes, self.end = sizes, sizes.cumsum()
         self.first = self.end - sizes
         self.count = np.ones(int(self.end[-1]), np.int32)
@@ -483,70 +508,101 @@ class _Models:
 
     def take_in(self, x: np.ndarray, context: np.ndarray, event: np.ndarray) -> None:
         """Keeps some steps of the same lanes, places, contexts and how they were coded, until the models are due."""
-        self.seen.append((x, (context * 3 + event).astype(np.int32)))
+        self.seen.append((x.astype(np.int32), (event * self.events[0].size + context).astype(np.int32)))
 
     def refresh(self) -> None:
         if self.seen:
-            of = lambda k: np.concatenate([s[k].T.ravel() for s in self.seen])
-            first = np.concatenate([np.repeat(self.first[: x.shape[1]], len(x)) for x, _ in self.seen])
-            self.count += np.bincount(of(0) + first, minlength=len(self.count)).astype(np.int32) << 1
-            self.events += np.bincount(of(1), minlength=self.events.size).reshape(self.events.shape)
+            for x, _ in self.seen:
+                x += self.first[: x.shape[1]]
+            places = np.concatenate([x.T.ravel() for x, _ in self.seen])
+            self.count += np.bincount(places, minlength=len(self.count)).astype(np.int32) << 1
+            self.events += np.bincount(np.concatenate([e.ravel() for _, e in self.seen]), minlength=self.events.size).reshape(self.events.shape)
             self.seen = []
         self._chances()
         self._frequencies()
 
     def _chances(self) -> None:
         """The shares of both guesses in each context, mixed from what each order knows alone."""
-        n = self.events.sum(2).reshape(-1, 3, 2, 4, 4)
-        hit = self.events[:, :, 0].reshape(n.shape)
-        chance = lambda h, n: _STRETCH[np.minimum((2 * h + 1) * 4096 // (2 * n + 16), 4095)]
-        two = chance(hit.sum((1, 4)), n.sum((1, 4)))[:, None, :, :, None]
-        one = chance(hit.sum((1, 3)), n.sum((1, 3)))[:, None, :, None, :]
-        none = chance(hit.sum((2, 3, 4)), n.sum((2, 3, 4)))[:, :, None, None, None]
-        every = [np.broadcast_to(x, n.shape) for x in (two, one, none)]
-        mixed = lambda: np.clip(sum(w[:, None, None, None, None] * x for w, x in zip(self.weight.T, every, strict=True)) >> 16, -2048, 2047)
-        wrong = hit * 4096 - n * _SQUASH[mixed() + 2048]
-        total = np.maximum(n.sum((1, 2, 3, 4)), 1)
-        for k in range(3):
-            self.weight[:, k] += (wrong * every[k]).sum((1, 2, 3, 4)) // total // 64
-        first = np.clip(_SQUASH[mixed() + 2048], 16, 4080) << 20
-        left = self.events[:, :, 1:].sum(2).reshape(n.shape).sum((1, 2))
-        then = np.clip((2 * self.events[:, :, 1].reshape(n.shape).sum((1, 2)) + 1) * 4096 // (2 * left + 16), 16, 4080)
-        second = (((1 << 32) - first) >> 12) * then[:, None, None]
-        second[:, :, 1] = 0  # both guesses are the same
-        self.share_two = first.astype(_U).ravel()
-        self.share_both = (first + second).astype(_U).ravel()
+        hit, second, miss = self.events.reshape(3, 3, 2, 4, 4, -1)
+        n = hit + second + miss
+        by_sure, seen = hit.sum(0), n.sum(0)
+        chance = lambda h, n: _STRETCH.take(np.minimum((2 * h + 1) * 4096 // (2 * n + 16), 4095))
+        two = chance(by_sure.sum(2), seen.sum(2))[:, :, None]
+        one = chance(by_sure.sum(1), seen.sum(1))[:, None]
+        none = chance(hit.sum((1, 2, 3)), n.sum((1, 2, 3)))[:, None, None, None]
+
+        def mixed() -> np.ndarray:
+            x = none * self.weight[2] + (two * self.weight[0] + one * self.weight[1])
+            x >>= 16
+            np.clip(x, -2048, 2047, out=x)
+            x += 2048
+            return _SQUASH.take(x)
+
+        wrong = hit * 4096 - n * mixed()
+        total, by_sure = np.maximum(seen.sum((0, 1, 2)), 1), wrong.sum(0)
+        for k, x in enumerate((by_sure.sum(2)[:, :, None] * two, by_sure.sum(1)[:, None] * one, wrong.sum((1, 2, 3))[:, None, None, None] * none)):
+            self.weight[k] += x.sum((0, 1, 2) if k < 2 else (0, 1, 2, 3)) // total // 64
+        first = np.clip(mixed(), 16, 4080) << 20
+        left, right = (second + miss).sum((0, 1)), second.sum((0, 1))
+        then = np.clip((2 * right + 1) * 4096 // (2 * left + 16), 16, 4080)
+        both = first.copy()
+        both[:, 0] += (((1 << 32) - first[:, 0]) >> 12) * then  # else both guesses are the same
+        self.share_two = first.view(_U).ravel()
+        self.share_both = both.view(_U).ravel()
 
     def _frequencies(self) -> None:
         """Order-0 frequencies of the places, lane by lane; each is 1 of 2**15 at least."""
         up = self.count.cumsum(dtype=np.int32)
         begin = np.r_[np.int32(0), up][self.first]
         scale = ((1 << _ID_BITS) - self.sizes) / (up[self.end - 1] - begin)
-        low = ((up - self.count - np.repeat(begin, self.sizes)) * np.repeat(scale, self.sizes)).astype(np.int32) + self.place
+        up -= self.count
+        up -= np.repeat(begin, self.sizes)
+        low = (up * np.repeat(scale, self.sizes)).astype(np.int32)
+        low += self.place
         high = np.append(low[1:], np.int32(0))
         high[self.end - 1] = 1 << _ID_BITS
-        cover = (high + (_CELL - 1) >> _CELL_BITS) - (low + (_CELL - 1) >> _CELL_BITS)
+        begin = low + (_CELL - 1) >> _CELL_BITS
+        cover = np.append(begin[1:], np.int32(0))
+        cover[self.end - 1] = 1 << _ID_BITS - _CELL_BITS
+        cover -= begin
         #: The place, in its lane, in which each cell of a lane's frequencies begins.
-        self.cell = np.repeat(np.arange(len(high), dtype=np.int32), cover)
-        self.cum, self.high = low, high
+        self.cell = np.repeat(self.place.astype(np.uint16), cover)
+        #: Where a place's frequencies end, times 2**16, and how many they are.
+        self.part = high.astype(np.uint32)
+        self.part <<= 16
+        high -= low
+        self.part |= high.view(np.uint32)
 
     def find(self, on: int, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The place of each lane whose frequencies hold ``want``, and where they end."""
-        place = self.cell.take((want >> _CELL_BITS) + self.cells[:on])
-        high = self.high.take(place)
-        far = (high <= want).nonzero()[0]
+        """The place of each lane whose frequencies hold ``want``, and its part of them."""
+        place = self.cell.take((want >> _CELL_BITS) + self.cells[:on]) + self.first[:on]
+        part, least = self.part.take(place), want + 1 << 16
+        far = (part < least).nonzero()[0]
         while far.size:
             next_ = place[far] + 1
             place[far] = next_
-            ends = high[far] = self.high.take(next_)
-            far = far[ends <= want[far]]
-        return place, high
+            ends = part[far] = self.part.take(next_)
+            far = far[ends < least[far]]
+        return place, part
+
+    @staticmethod
+    def shares(part: np.ndarray, unit: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of parts of the frequencies, behind the shares of both guesses."""
+        start = part.astype(_U)
+        size = start & _PART
+        start >>= _PART_BITS
+        start -= size
+        start *= unit
+        start += both
+        size *= unit
+        return start, size
 
     def contexts(self, held: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """The context of each look-up; ``last`` is the lane's base and 32 times the last event."""
+        """The context of each look-up, in its lane; ``last`` is 32 times the last event, and the lane is added."""
         v, w = held
         c = ((v | w) & 15).astype(np.int64)
         c += ((v ^ w) < 16) << 4
+        c *= len(self.base)
         c += last
         return c
 
@@ -558,7 +614,8 @@ def _code_places(places: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
     for k, x in enumerate(places):
         ids[: length[k], k] = x
     m, out = _Models(sizes), _Writer(len(places), len(ids))
-    last = m.base + 64
+    after = 32 * len(m.base)
+    last = m.base + 2 * after
     for t, until, on in _runs(_on(length), _due, _STEPS):
         if _due(t):
             m.refresh()
@@ -569,15 +626,13 @@ def _code_places(places: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
             m.learn(x[k], at, held[:, k])
         second, first = held >> 4 == x
         event = np.where(first, 0, 2 - second)
-        before = np.vstack([last[:on], m.base[:on] + 32 * event[:-1]])
-        last = m.base[:on] + 32 * event[-1]
+        before = np.vstack([last[:on], m.base[:on] + after * event[:-1]])
+        last = m.base[:on] + after * event[-1]
         context = m.contexts(held, before)
         both, at = m.share_both.take(context), x + m.first[:on]
-        low, unit = m.cum.take(at), (_FULL - both) >> _ID_SHARE
-        size = unit * (m.high.take(at) - low).astype(_U)
-        start = low.astype(_U)
-        start *= unit
-        start += both
+        unit = _FULL - both
+        unit >>= _ID_SHARE
+        start, size = m.shares(m.part.take(at), unit, both)
         for guess, right in ((0, first), (1, second & ~first)):
             at = right.ravel().nonzero()[0]
             two = m.share_two.take(context.ravel()[at])
@@ -593,12 +648,13 @@ def _decode_places(coded: list[bytes], length: np.ndarray, sizes: np.ndarray) ->
     """The places of some blocks, longest first, a column for each."""
     ids = np.zeros((int(length[0]), len(coded)), np.uint16)
     m, r, top = _Models(sizes), _Reader(coded), _U((1 << _ID_BITS) - 1)
-    last = m.base + 64
+    after = 32 * len(m.base)
+    last = m.base + 2 * after
     for t, until, on in _runs(_on(length), _due, _STEPS):
         if _due(t):
             m.refresh()
         context, event = np.empty((until - t, on), np.int64), np.full((until - t, on), 2, np.int64)
-        found, plain = np.empty((until - t, on), np.int64), m.base[:on] + 64
+        found, plain = np.empty((until - t, on), np.int64), m.base[:on] + 2 * after
         last = last[:on]
         for k in range(until - t):
             at, held = m.look(on)
@@ -610,14 +666,8 @@ def _decode_places(coded: list[bytes], length: np.ndarray, sizes: np.ndarray) ->
             unit >>= _ID_SHARE
             want = f - both
             want //= unit
-            place, high = m.find(on, np.minimum(want, top).astype(np.int64))
-            low = m.cum.take(place)
-            high -= low
-            size = high.astype(_U)
-            size *= unit
-            start = low.astype(_U)
-            start *= unit
-            start += both
+            place, part = m.find(on, np.minimum(want, top).view(np.int64))
+            start, size = m.shares(part, unit, both)
             np.subtract(place, m.first[:on], out=x)
             if (g := (f < both).nonzero()[0]).size:
                 two, most = m.share_two.take(c[g]), both[g]
@@ -625,7 +675,7 @@ def _decode_places(coded: list[bytes], length: np.ndarray, sizes: np.ndarray) ->
                 start[g], size[g] = two * second, np.where(second, most - two, two)
                 x[g] = held[1 - second, g] >> 4
                 event[k, g] = second
-                last[g] += 32 * (second - np.int64(2))
+                last[g] += after * (second - np.int64(2))
             r.take(on, start, size)
             m.learn(x, at, held)
         ids[t:until, :on] = found

@@ -845,6 +845,18 @@ def test_models_count_only_when_they_are_due(monkeypatch):
     assert len(models) == 2 and len(calls) == 2 * 2 * len(due)
 
 
+def test_gaps_are_counted_only_when_they_are_due(monkeypatch):
+    """Sets of many sizes leave step by step; the buckets of their gaps are counted where frequencies use them, not at each size."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 50257, n)) for n in range(1, 300)]
+    calls, bincount = [], np.bincount
+    monkeypatch.setattr(token_store.np, "bincount", lambda *a, **k: calls.append("counted") or bincount(*a, **k))
+    coded = token_store._code_sets(sets)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(sets, token_store._decode_sets(coded, list(map(len, sets))), strict=True))
+    due = [t for t in range(1, max(map(len, sets))) if token_store._due_gaps(t)]
+    assert len(calls) == 2 * len(due)
+
+
 def test_token_store_of_odd_input(odd):
     library = Tokenizer.from_file(PATH)
     got = sorted(rows_of(token_store.read_records(stash(token_store.write_records(odd, PATH), "t"))), key=lambda r: r[1])
