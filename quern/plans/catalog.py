@@ -672,9 +672,11 @@ fl AS (SELECT quantile_cont(m, 0.4::DOUBLE) AS f FROM be WHERE doc_id % 5 = 0)
 SELECT doc_id, CASE WHEN m >= f THEN 'in_distribution' ELSE 'out_of_distribution' END AS status, round(m, 6) AS maximum, round(f, 6) AS floor, n AS nearest FROM be, fl WHERE doc_id % 5 = 1""")
 def lineage_status(spark, d):
     """Documents as genomes: three of five are for training, one for calibration, one is new."""
-    g = R.grams(spark, d)
-    made = lineage.build(g.where("doc_id % 5 > 1"), g.where("doc_id % 5 = 0"), table(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id"), "doc_id", "g", 5, 0.4)
-    found = lineage.evaluate(g.where("doc_id % 5 = 1"), table(spark, d, "documents").where("doc_id % 5 = 1").select("doc_id"), made)
+    asks = F.col("doc_id") % 5 < 2
+    sets = R.gram_sets(spark, d).withColumns({"q": asks, "r": ~asks})
+    near = lineage.nearest_sets(sets, table(spark, d, "documents").where(asks).select("doc_id"), "doc_id", 5)
+    floor = similarity.novelty_floor(near.where("doc_id % 5 = 0"), "maximum", 0.4).first()["floor"]
+    found = lineage.judged(near.where("doc_id % 5 = 1"), floor, "doc_id")
     return found.select("doc_id", "status", F.round("maximum", 6).alias("maximum"), F.round("floor", 6).alias("floor"), "nearest")
 
 
