@@ -1024,3 +1024,20 @@ def test_stages_of_an_empty_table(spark, tmp_path, odd):
     for name, stage in corpus_pipeline.STAGES:
         docs = stash(stage(spark, docs, str(tmp_path)), name)
         assert docs.count() == 0
+
+
+def test_pairs_meet_part_by_part(spark, monkeypatch):
+    """Whatever moves at once, the components are the same, and parts' tables go."""
+    from quern.llm import _base
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(100 * g + i, " ".join([f"g{g}{w}" for w in words] + [f"x{g}y{i}"] * (i % 3))) for g in range(6) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, shingle_join.link_components(docs).collect()))
+    names, stash = [], shingle_join.stash
+    monkeypatch.setattr(shingle_join, "stash", lambda df, name: names.append(name) or stash(df, name))
+    monkeypatch.setattr(shingle_join, "MOVED", 2000)
+    assert sorted(map(tuple, shingle_join.link_components(docs).collect())) == whole
+    assert names.count("pairs") > 4 and names.count("linked") > 4
+    assert len({c for _, _, c in whole}) == 6
+    assert sum("-linked-" in p or "-pairs-" in p for p in _base._written) <= 2 * 2
